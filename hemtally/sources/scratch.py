@@ -1,0 +1,22 @@
+"""Where jobs put tables that another step reads back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder (``spark.checkpoint.dir``).
+
+    Without that setting only a local session gets one: a temporary folder of a single machine would lose its files
+    with that machine.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+        shared = tempfile.mkdtemp(prefix="hemtally-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -100,9 +100,9 @@ def _distribution(
 ) -> DataFrame:
     """``[kind, scope, domain, ct, mean, <percentiles>]`` of group sizes, groups being (key, domain) for each kind.
 
-    Only the first aggregation sees every token. Its groups are then counted by size, and all the rest works on
-    those histograms: sizes that differ add up to no more than the tokens, so N tokens have at most about sqrt(2N)
-    of them and a histogram stays small however large the file is.
+    Only the first aggregation sees every token, and it combines copies before the shuffle. Its groups are then
+    counted by size, and percentiles come from those histograms: different sizes add up to no more than the tokens, so
+    N tokens have at most about sqrt(2N) of them and a histogram stays small however large the file is.
     """
     sizes = (
         long.select("domain", F.col("cluster_id").cast("string").alias("cluster"), F.col("pid"))
@@ -111,107 +111,98 @@ def _distribution(
         .agg(F.count("*").alias("ct"))
     )
     if accuracy is None:
-        measured = _exact(sizes, percentiles, maid_domains)
+        measured = _measures(sizes, percentiles, maid_domains)
     else:
-        measured = _sketched(sizes, percentiles, accuracy, maid_domains)
-    seen = F.array(*(F.col(f"has_{n}") for n in range(len(maid_domains))))
-    measured = measured.filter((F.col("scope") != _MAID) | F.forall(seen, lambda s: s))
-    columns = ["mean", *map(_percentile_name, percentiles)]
-    if "cluster" not in kinds:
-        # A token has one domain, so each (token, domain) group is a token of its own.
-        return measured.select("kind", "scope", "domain", F.col("n_groups").alias("ct"), *columns)
-    ct = (
-        F.when((F.col("kind") == "cluster") & (F.col("scope") == _ALL), F.col("n_keys"))
-        .when((F.col("kind") == "cluster") & (F.col("scope") == _MAID), F.col("n_maid_keys"))
-        .otherwise(F.col("n_groups"))
+        sketches = _sketched_percentiles(sizes, percentiles, accuracy, maid_domains)
+        measured = _measures(sizes, (), maid_domains).join(sketches, ["kind", "total"])
+    every_maid = F.forall(F.array(*_seen_columns(maid_domains)), lambda seen: seen)
+    # A token has one domain, so each (token, domain) group is a token of its own; clusters have to be told apart.
+    whole_clusters = (F.col("kind") == "cluster") & (F.col("total.scope") != _DOMAIN)
+    return measured.filter((F.col("total.scope") != _MAID) | every_maid).select(
+        "kind",
+        "total.scope",
+        "total.domain",
+        F.when(whole_clusters, F.col("n_clusters")).otherwise(F.col("n_groups")).alias("ct"),
+        "mean",
+        *map(_percentile_name, percentiles),
     )
-    keys = _cluster_counts(sizes, maid_domains)
-    return measured.join(keys, "kind", "left").select("kind", "scope", "domain", ct.alias("ct"), *columns)
 
 
-def _cluster_counts(sizes: DataFrame, maid_domains: tuple[str, ...]) -> DataFrame:
-    """Per kind: distinct clusters, and those with a mobile id, in one pass (a cluster has a group per domain).
+def _measures(sizes: DataFrame, percentiles: Sequence[float], maid_domains: tuple[str, ...]) -> DataFrame:
+    """Counts, mean and exact percentiles per kind and result row.
 
-    Ids are folded into one group per task, not filtered out: a filter would move below the aggregation of ``sizes``,
-    which would then run a second time instead of being shared. Adding up ``ct`` has the same reason.
+    One pass counts two things: groups by (domain, size), few rows, and clusters, one row each with whether it has a
+    mobile id. Ids need no such count, so all of them fall into one row. The rows of clusters have no size.
     """
-    return (
-        sizes.groupBy("kind", F.when(F.col("kind") == "cluster", F.col("key")).alias("key"))
-        .agg(F.sum(F.when(is_maid_domain(F.col("domain"), maid_domains), F.col("ct"))).alias("maid_tokens"))
-        .groupBy("kind")
-        .agg(
-            F.count("key").alias("n_keys"),
-            F.count(F.when(F.col("maid_tokens").isNotNull(), F.col("key"))).alias("n_maid_keys"),
+    cluster = F.when(F.col("kind") == "cluster", F.col("key"))
+    counted = (
+        sizes.select("kind", "ct", F.col("domain").alias("source"), cluster.alias("cluster"))
+        .groupingSets(
+            [["kind", "source", "ct"], ["kind", "cluster"]], "kind", "source", "ct", "cluster"
         )
+        .agg(F.count("*").alias("n"), F.max(is_maid_domain(F.col("source"), maid_domains)).alias("maid"))
     )
-
-
-def _totals(domain: Column, maid_domains: tuple[str, ...]) -> Column:
-    """The result rows that a domain's groups count for."""
-    rows = F.array(
-        F.struct(F.lit(_ALL).alias("scope"), F.lit(ALL_LABEL).alias("domain")),
-        F.struct(F.lit(_DOMAIN).alias("scope"), domain.alias("domain")),
-        F.when(
-            is_maid_domain(domain, maid_domains),
-            F.struct(F.lit(_MAID).alias("scope"), F.lit(MAID_LABEL).alias("domain")),
-        ),
-    )
-    return F.explode(F.array_compact(rows)).alias("total")
-
-
-def _has(domain: Column, maid_domains: tuple[str, ...]) -> list[Column]:
-    return [F.max(domain == name).alias(f"has_{n}") for n, name in enumerate(maid_domains)]
-
-
-def _exact(sizes: DataFrame, percentiles: Sequence[float], maid_domains: tuple[str, ...]) -> DataFrame:
-    histogram = (
-        sizes.groupBy("kind", "domain", "ct")
-        .agg(F.count("*").alias("n"))
-        .withColumnRenamed("domain", "source")
-        .select("kind", "ct", "n", "source", _totals(F.col("source"), maid_domains))
+    is_size = F.col("ct").isNotNull()
+    histograms = (
+        counted.select(
+            "kind",
+            "ct",
+            F.when(is_size, F.col("n")).alias("n"),
+            "cluster",
+            "source",
+            _totals(F.col("source"), F.col("maid")),
+        )
         .groupBy("kind", "total", "ct")
-        .agg(F.sum("n").alias("n"), *_has(F.col("source"), maid_domains))
+        .agg(
+            F.sum("n").alias("n"),
+            F.count("cluster").alias("n_clusters"),
+            *(F.max(F.col("source") == name).alias(seen) for name, seen in zip(maid_domains, _seen_columns(maid_domains))),
+        )
     )
     group = Window.partitionBy("kind", "total")
     rank = F.sum("n").over(group.orderBy("ct").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = histogram.withColumn("rank", rank).withColumn("of", F.sum("n").over(group))
+    ranked = histograms.withColumn("rank", rank).withColumn("of", F.sum("n").over(group))
 
     def percentile(p: float) -> Column:
         # Decimals: 0.9 of 10 groups has to be the 9th, not the one after it.
         reached = F.col("rank") >= F.lit(Decimal(str(p))) * F.col("of").cast("decimal(20,0)")
         return F.min(F.when(reached, F.col("ct"))).alias(_percentile_name(p))
 
-    return _unpacked(
-        ranked.groupBy("kind", "total").agg(
-            F.sum("n").alias("n_groups"),
-            F.round(F.sum(F.col("ct") * F.col("n")) / F.sum("n"), 1).alias("mean"),
-            *map(percentile, percentiles),
-            *(F.max(f"has_{n}").alias(f"has_{n}") for n in range(len(maid_domains))),
-        )
+    return ranked.groupBy("kind", "total").agg(
+        F.sum("n").alias("n_groups"),
+        F.sum("n_clusters").alias("n_clusters"),
+        F.round(F.sum(F.col("ct") * F.col("n")) / F.sum("n"), 1).alias("mean"),
+        *map(percentile, percentiles),
+        *(F.max(seen).alias(seen) for seen in _seen_columns(maid_domains)),
     )
 
 
-def _sketched(
+def _sketched_percentiles(
     sizes: DataFrame, percentiles: Sequence[float], accuracy: int, maid_domains: tuple[str, ...]
 ) -> DataFrame:
-    sketch = (
-        sizes.withColumnRenamed("domain", "source")
-        .select("kind", "ct", "source", _totals(F.col("source"), maid_domains))
+    domain = F.col("domain")
+    sketches = (
+        sizes.select("kind", "ct", _totals(domain, is_maid_domain(domain, maid_domains)))
         .groupBy("kind", "total")
-        .agg(
-            F.count("*").alias("n_groups"),
-            F.round(F.avg("ct"), 1).alias("mean"),
-            F.percentile_approx("ct", list(percentiles), accuracy).alias("ntile"),
-            *_has(F.col("source"), maid_domains),
-        )
+        .agg(F.percentile_approx("ct", list(percentiles), accuracy).alias("ntile"))
     )
-    return _unpacked(
-        sketch.withColumns({_percentile_name(p): F.col("ntile")[n] for n, p in enumerate(percentiles)})
+    return sketches.select(
+        "kind", "total", *(F.col("ntile")[n].alias(_percentile_name(p)) for n, p in enumerate(percentiles))
     )
 
 
-def _unpacked(df: DataFrame) -> DataFrame:
-    return df.select("*", "total.scope", "total.domain").drop("total")
+def _totals(domain: Column, maid: Column) -> Column:
+    """One ``total`` per result row that a row counts for; a row without a domain counts for the sums only."""
+    rows = F.array(
+        F.struct(F.lit(_ALL).alias("scope"), F.lit(ALL_LABEL).alias("domain")),
+        F.when(domain.isNotNull(), F.struct(F.lit(_DOMAIN).alias("scope"), domain.alias("domain"))),
+        F.when(maid, F.struct(F.lit(_MAID).alias("scope"), F.lit(MAID_LABEL).alias("domain"))),
+    )
+    return F.explode(F.array_compact(rows)).alias("total")
+
+
+def _seen_columns(maid_domains: tuple[str, ...]) -> list[str]:
+    return [f"seen_{n}" for n in range(len(maid_domains))]
 
 
 def _percentile_name(p: float) -> str:

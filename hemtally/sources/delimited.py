@@ -34,9 +34,10 @@ def read_delimited(
 
 def malformed_rows(df: DataFrame, malformed: str) -> DataFrame:
     """How many lines were read, and how many had too few or too many fields."""
-    first = df.columns[0]
-    return df.select(first, malformed).agg(
-        F.count("*").alias("n_rows"), F.count(malformed).alias("n_malformed")
+    # Spark refuses a query of the malformed text alone, so the lines are counted through the first field.
+    first = F.col(df.columns[0])
+    return df.agg(
+        (F.count(first) + F.count_if(first.isNull())).alias("n_rows"), F.count(malformed).alias("n_malformed")
     )
 
 

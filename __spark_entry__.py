@@ -150,7 +150,7 @@ def _from_daily_counts(
     (week_before,) = days_before(IMPRESSION_RUN, 7, 7)
     for run in (week_before, IMPRESSION_RUN):
         plans.refresh_daily_counts(impressions, members, store, run, keys, max_days, SKIPPED)
-    return count(plans.read_daily_counts(spark, store, IMPRESSION_RUN, max_days, SKIPPED))
+    return count(plans.read_daily_counts(impressions, store, IMPRESSION_RUN, keys, max_days, SKIPPED))
 
 
 def _hash_match_counts_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,16 @@ from collections.abc import Iterable, Sequence
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hemtally.functions.dates import as_day, days_before
 from hemtally.operators.audience import (
+    CATEGORY,
     DETAIL_DAYS,
     MAX_DAYS,
+    USER_AGENT,
     audience_members,
     category_counts,
     daily_counts,
@@ -23,6 +26,7 @@ from hemtally.operators.audience import (
 )
 from hemtally.sinks.daily import write_days
 from hemtally.sinks.delimited import write_delimited
+from hemtally.sources.snapshots import latest_value
 
 
 def audience_run(
@@ -32,19 +36,28 @@ def audience_run(
     run_date: date | str,
     skip_dates: Iterable[date | str] = (),
     snapshot: str | None = None,
+    store: str | None = None,
+    max_files: int | None = None,
 ) -> None:
-    """Write the three counts as CSV below ``folder``, straight from the impressions.
+    """Write the three counts as CSV below ``folder``.
 
-    Each count reads only its own days and columns, so nothing is cached between them.
+    Without a ``store`` they come straight from the impressions: each reads only its own days and columns, so nothing
+    is cached between them. With one, daily counts are kept there for each email snapshot, and a later run, or one that
+    takes up a failed run, reads the impressions of the days it lacks only.
     """
     skipped = list(skip_dates)
+    flat = flat_impressions(impressions)
+    if snapshot is None:
+        snapshot = latest_value(emails)
     members = audience_members(emails, snapshot)
-    all_days = lookback(impressions, run_date, MAX_DAYS, skipped)
-    recent = flat_impressions(lookback(impressions, run_date, DETAIL_DAYS, skipped))
-    root = folder.rstrip("/")
-    write_delimited(hash_match_counts(all_days, members), f"{root}/hash_match_counts", max_files=10)
-    write_delimited(user_agent_counts(recent, members), f"{root}/user_agent_counts", max_files=50)
-    write_delimited(category_counts(recent, members), f"{root}/category_counts", max_files=50)
+    for name, keys, days, count in _RESULTS:
+        if store is None:
+            result = count(lookback(flat, run_date, days, skipped), members)
+        else:
+            kept = f"{store.rstrip('/')}/{snapshot}/{name}"
+            refresh_daily_counts(flat, members, kept, run_date, keys, days, skipped)
+            result = count(read_daily_counts(flat, kept, run_date, keys, days, skipped))
+        write_delimited(result, f"{folder.rstrip('/')}/{name}", max_files=max_files)
 
 
 def refresh_daily_counts(
@@ -63,33 +76,52 @@ def refresh_daily_counts(
     depend on the run date. Days in ``redo`` are computed again and replaced, e.g. after late impressions.
     """
     skipped = {as_day(day) for day in skip_dates}
-    stored = _stored_days(impressions.sparkSession, store, run_date, max_days) - {as_day(day) for day in redo}
+    stored = _stored_days(impressions, store, run_date, max_days) - {as_day(day) for day in redo}
     window = [day for day in days_before(run_date, 1, max_days) if day not in skipped]
     missing = [day for day in window if day not in stored]
     if missing:
         rows = lookback(impressions, run_date, max_days, skip_dates=skipped | stored)
         counts = daily_counts(rows, keys, members).withColumn("date_p", F.col("date_p").cast("date"))
+        # Each day's rows together, so that a task writes few files; a large day is split.
         write_days(counts.hint("rebalance", "date_p"), store, "date_p")
     return missing
 
 
 def read_daily_counts(
-    spark: SparkSession,
+    impressions: DataFrame,
     store: str,
     run_date: date | str,
+    keys: Sequence[str] = ("md5",),
     max_days: int = MAX_DAYS,
     skip_dates: Iterable[date | str] = (),
 ) -> DataFrame:
-    """The stored days of the window with ``days_since``, ready for the count operators."""
-    return lookback(spark.read.parquet(store), run_date, max_days, skip_dates)
+    """The stored days of the window with ``days_since``, ready for the count operators.
+
+    ``impressions`` only tells the types of the keys, so that a store without any match can be read.
+    """
+    return lookback(_stored(impressions, store, keys), run_date, max_days, skip_dates)
+
 
+def _stored(impressions: DataFrame, store: str, keys: Sequence[str]) -> DataFrame:
+    fields = [impressions.schema[key] for key in keys]
+    schema = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("date_p", T.DateType())])
+    return impressions.sparkSession.read.schema(schema).parquet(store)
 
-def _stored_days(spark: SparkSession, store: str, run_date: date | str, max_days: int) -> set[date]:
+
+def _stored_days(impressions: DataFrame, store: str, run_date: date | str, max_days: int) -> set[date]:
     try:
-        kept = spark.read.parquet(store)
+        kept = _stored(impressions, store, ())
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return set()
         raise
     # At most max_days values.
     return {row.date_p for row in lookback(kept, run_date, max_days).select("date_p").distinct().collect()}
+
+
+# The results of a run: name, keys, lookback days, and what counts them.
+_RESULTS = (
+    ("hash_match_counts", ("md5",), MAX_DAYS, hash_match_counts),
+    ("user_agent_counts", USER_AGENT, DETAIL_DAYS, user_agent_counts),
+    ("category_counts", CATEGORY, DETAIL_DAYS, category_counts),
+)

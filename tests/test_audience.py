@@ -113,11 +113,11 @@ def test_daily_counts_match_one_pass_on_two_run_dates(spark, emails, tmp_path):
     later = RUN + timedelta(days=40)
     for run in (RUN, later):
         refresh_daily_counts(df, members, store, run)
-        assert rows(hash_match_counts(read_daily_counts(spark, store, run))) == rows(
+        assert rows(hash_match_counts(read_daily_counts(df, store, run))) == rows(
             hash_match_counts(lookback(df, run), members)
         )
     # The first run date again, now with days in the store that lie after it.
-    assert rows(hash_match_counts(read_daily_counts(spark, store, RUN))) == rows(
+    assert rows(hash_match_counts(read_daily_counts(df, store, RUN))) == rows(
         hash_match_counts(lookback(df, RUN), members)
     )
 
@@ -128,16 +128,28 @@ def test_refresh_computes_only_missing_days_unless_told(spark, emails, tmp_path)
     late = impressions(spark, [*DATA, seen("a", 1), seen("b", 2)])
     computed = refresh_daily_counts(late, members, store, RUN, max_days=31)
     assert RUN - timedelta(days=1) not in computed and RUN - timedelta(days=2) in computed
-    assert rows(hash_match_counts(read_daily_counts(spark, store, RUN, 31))) == [("a", 3, 4, 4), ("b", 1, 1, 1)]
+    assert rows(hash_match_counts(read_daily_counts(late, store, RUN, max_days=31))) == [("a", 3, 4, 4), ("b", 1, 1, 1)]
     refresh_daily_counts(late, members, store, RUN, max_days=31, redo=[RUN - timedelta(days=1)])
-    assert rows(hash_match_counts(read_daily_counts(spark, store, RUN, 31))) == [("a", 4, 5, 5), ("b", 1, 1, 1)]
+    assert rows(hash_match_counts(read_daily_counts(late, store, RUN, max_days=31))) == [("a", 4, 5, 5), ("b", 1, 1, 1)]
 
 
-def test_run_writes_three_results(spark, emails, tmp_path):
+@pytest.mark.parametrize("kept", [False, True])
+def test_run_writes_three_results(spark, emails, tmp_path, kept):
     df = impressions(spark, DATA)
+    store = str(tmp_path / "store") if kept else None
     for _ in range(2):
-        audience_run(df, emails, str(tmp_path), RUN)
-    results = {name: spark.read.csv(str(tmp_path / name)) for name in ("hash_match_counts", "user_agent_counts", "category_counts")}
+        audience_run(df, emails, str(tmp_path / "out"), RUN, store=store, max_files=2)
+    results = {
+        name: spark.read.csv(str(tmp_path / "out" / name))
+        for name in ("hash_match_counts", "user_agent_counts", "category_counts")
+    }
     assert rows(results["hash_match_counts"]) == [("a", "3", "6", "7"), ("b", None, None, None)]
     assert results["user_agent_counts"].count() == 1
     assert results["category_counts"].count() == 3
+
+
+def test_store_without_any_match(spark, emails, tmp_path):
+    df, store = impressions(spark, [seen("x", 1)]), str(tmp_path / "store")
+    for _ in range(2):
+        refresh_daily_counts(df, audience_members(emails), store, RUN)
+        assert rows(hash_match_counts(read_daily_counts(df, store, RUN))) == []

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemtally.functions.dates import as_day, days_before, on_days
+from hemtally.operators.keys import key_list
 from hemtally.sources.snapshots import at_snapshot
 
 # Lookback days in total, those of the cumulative windows, of the detail counts, and of the coverage
@@ -26,19 +27,21 @@ IMPRESSION = (*USER_AGENT, "category_id")
 
 
 def audience_members(emails: DataFrame, snapshot: str | None = None) -> DataFrame:
-    """Distinct ``[md5]`` of one snapshot of the email list."""
-    return at_snapshot(emails, snapshot).select("md5").distinct()
+    """``[md5]`` of one snapshot of the email list."""
+    return at_snapshot(emails, snapshot).select("md5")
 
 
-def in_audience(df: DataFrame, members: DataFrame | None) -> DataFrame:
-    """Rows of members; all rows if there is no list.
+def in_audience(df: DataFrame, members: DataFrame | None, unique: bool = False) -> DataFrame:
+    """Rows whose md5 is listed; all rows if there is no list.
 
-    Placed after an aggregation that keeps md5, it costs no extra shuffle when grouped by md5 alone, it sees frequent
-    hashes already combined, and for a short list Catalyst moves it down to the scan by itself.
+    Best placed after an aggregation that keeps md5: frequent hashes arrive combined, and for a short list Catalyst
+    moves the join below it, down to the scan. ``unique`` tells that ``df`` is grouped by md5 alone; a distinct list
+    then joins it without a further shuffle.
     """
     if members is None:
         return df
-    return df.join(members.select("md5"), "md5", "left_semi")
+    listed = members.select("md5").distinct() if unique else key_list(members, "md5")
+    return df.join(listed, "md5", "left_semi")
 
 
 def lookback(
@@ -86,7 +89,7 @@ def hash_match_counts(
     counts = rows.groupBy("md5").agg(
         *(F.sum(F.when(F.col("days_since") <= days, _count(rows))).alias(f"ct_{days}") for days in windows)
     )
-    return in_audience(counts, members)
+    return in_audience(counts, members, unique=True)
 
 
 def user_agent_counts(rows: DataFrame, members: DataFrame | None = None, days: int = DETAIL_DAYS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemtally.functions.hashes import hash_type
+from hemtally.operators.keys import key_list
 from hemtally.sources.snapshots import at_snapshot
 
 # The lookup table's column for each kind that can be converted.
@@ -35,5 +36,5 @@ def convert_hashes(client: DataFrame, lookup: DataFrame, kind: str, snapshot: st
     if kind not in LOOKUP_COLUMNS:
         raise ValueError(f"kind must be one of {', '.join(LOOKUP_COLUMNS)}, not {kind}")
     key = LOOKUP_COLUMNS[kind]
-    wanted = client.select(key).distinct()
+    wanted = key_list(client, key)
     return at_snapshot(lookup, snapshot).join(wanted, key, "left_semi").select("md5").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemtally.functions.dates import as_day
+from hemtally.operators.keys import key_list
 from hemtally.sources.snapshots import at_snapshot
 
 # Field positions in the raw log (counted from 0), how many fields it needs, the text for a missing
@@ -30,12 +31,11 @@ def log_columns() -> list[str]:
 
 
 def advertiser_cookies(weblog: DataFrame, adv_id: str) -> DataFrame:
-    """Distinct ``[cookie]`` of both kinds, without NULL and the text ``null``. Reads the log once."""
+    """``[cookie]`` of both kinds, without NULL and the text ``null``. Reads the log once."""
     return (
         weblog.filter(F.col("adv_id") == adv_id)
         .select(F.explode(F.array("lidid", "domain_user_id")).alias("cookie"))
         .filter(F.col("cookie") != MISSING)
-        .distinct()
     )
 
 
@@ -45,9 +45,9 @@ def hashes_of_cookies(cookies: DataFrame, graph: DataFrame, snapshot: str | None
     The graph is only filtered by the cookies (semi join), so edges are neither de-duplicated nor multiplied for it,
     and a cookie with very many edges can be split over tasks.
     """
-    return (
-        at_snapshot(graph, snapshot).join(cookies, "cookie", "left_semi").select(F.col("hash").alias("hem")).distinct()
-    )
+    wanted = key_list(cookies, "cookie")
+    edges = at_snapshot(graph, snapshot).join(wanted, "cookie", "left_semi")
+    return edges.select(F.col("hash").alias("hem")).distinct()
 
 
 def cookies_to_hashes(

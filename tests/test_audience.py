@@ -77,6 +77,7 @@ def test_skipped_days_and_malformed_days_are_left_out(spark, emails):
 
 def test_email_list_of_a_given_snapshot(spark, emails):
     assert rows(audience_members(emails, "20201001")) == [("z",)]
+    assert rows(audience_members(emails)) == [("a",), ("a",), ("b",), (None,)]
     assert rows(audience_impressions(impressions(spark, DATA), emails, RUN, 5, snapshot="20201001"), "md5") == [("z",)]
 
 

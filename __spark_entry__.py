@@ -523,7 +523,7 @@ def oracle_sql() -> dict[str, str]:
             """
         select trim(email_address) as recipient, 'Templates in decline' as subject,
                case when d1 = 0 then 'did not participate' else 'declined significantly' end as status,
-               concat('Hi there ', am_name, ', <br> <br> A template you look after &mdash; ', template_name, ' (id: ',
+               concat('Hi there ', am_name, ', <br> <br> A template you are the PDM for &mdash; ', template_name, ' (id: ',
                       template_id, ') &mdash; ', status, ' yesterday. Please check it out. <br>',
                       ' <br> <u>Details</u> <br> <br>',
                       ' <b>Media Group Name</b>: ', replace(media_group_name, '&', '&amp;'), ' (id: ', media_group_id,

@@ -21,7 +21,7 @@ from hemtally.operators.clusters import (
     pids_per_cluster,
 )
 from hemtally.operators.hashes import classify_hashes, convert_hashes
-from hemtally.operators.matching import domain_breakdown, match_counts, match_flags, pair_stats
+from hemtally.operators.matching import domain_breakdown, match_counts, match_flags, matched_stats, pair_stats
 from hemtally.operators.profile import preview, profile_file
 from hemtally.operators.weblog import advertiser_cookies, cookies_to_hashes, hashes_of_cookies
 
@@ -50,6 +50,7 @@ __all__ = [
     "lookback",
     "match_counts",
     "match_flags",
+    "matched_stats",
     "pair_stats",
     "period_activity",
     "pids_per_cluster",

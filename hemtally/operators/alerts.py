@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from hemtally.functions.dates import as_day, days_before, on_days
 from hemtally.functions.text import html_escape
 
-# Status texts, and the labels of a message's details with the columns they show.
+# Status texts, the message's first part, and the labels of its details with the columns they show.
 STOPPED = "did not participate"
 DECLINED = "declined significantly"
+GREETING = (
+    "Hi there %s, <br> <br> A template you are the PDM for &mdash; %s (id: %s) &mdash; %s yesterday. "
+    "Please check it out. <br>"
+)
+DETAILS = "<br> <u>Details</u> <br> <br>"
 NAMED_DETAILS = (
     ("Media Group Name", "media_group_name", "media_group_id"),
     ("Publisher Name", "pub_name", "publisher_id"),
@@ -67,8 +72,7 @@ def alert_rows(metrics: DataFrame, subject: str) -> DataFrame:
     """One message per row: ``[recipient, subject, status, body]``, the body as HTML with escaped values."""
     status = F.when(F.col("decisions") == 0, STOPPED).otherwise(DECLINED)
     greeting = F.format_string(
-        "Hi there %s, <br> <br> A template you look after &mdash; %s (id: %s) &mdash; %s yesterday. "
-        "Please check it out. <br>",
+        GREETING,
         html_escape(F.col("am_name")),
         html_escape(F.col("template_name")),
         html_escape(F.col("template_id")),
@@ -81,10 +85,9 @@ def alert_rows(metrics: DataFrame, subject: str) -> DataFrame:
     counted = [
         F.format_string(f"<b>{label}</b>: %s <br>", html_escape(F.col(column))) for label, column in COUNTED_DETAILS
     ]
-    details = F.lit("<br> <u>Details</u> <br> <br>")
     return metrics.select(
         F.trim("email_address").alias("recipient"),
         F.lit(subject).alias("subject"),
         status.alias("status"),
-        F.concat_ws(" ", greeting, details, *named, *counted).alias("body"),
+        F.concat_ws(" ", greeting, F.lit(DETAILS), *named, *counted).alias("body"),
     )

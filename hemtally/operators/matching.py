@@ -18,15 +18,22 @@ def pair_stats(pairs: DataFrame, snapshot: str | None = None, region: str = "US"
     )
 
 
+def matched_stats(stats: DataFrame, client: DataFrame) -> DataFrame:
+    """Pair counts of the client's hashes only, for reports that share them.
+
+    The semi join sits on top of the pair counts. For a short client list Catalyst moves it below them, onto the scan;
+    for a long one it stays, and each hash arrives with one row per domain however many pairs it has.
+    """
+    return stats.join(client.select("hem").distinct(), "hem", "left_semi")
+
+
 def match_counts(stats: DataFrame, client: DataFrame) -> DataFrame:
     """One row: distinct client hashes found in the pairs, and those found in the region.
 
-    The semi join sits on top of the pair counts. For a short client list Catalyst moves it below them, onto the scan;
-    for a long one it stays, and each hash arrives with one row per domain however many pairs it has. Grouping by
-    hash then needs no further shuffle.
+    After a shuffle join, grouping by hash needs no further shuffle.
     """
     return (
-        stats.join(client.select("hem").distinct(), "hem", "left_semi")
+        matched_stats(stats, client)
         .groupBy("hem")
         .agg(F.max("us_pairs").alias("us_pairs"))
         .agg(F.count("*").alias("matched"), F.count_if(F.col("us_pairs") > 0).alias("matched_us"))

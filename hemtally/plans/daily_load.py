@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame
 
 from hemtally.sinks.daily import load_snapshot, snapshot_rows
 from hemtally.sinks.delimited import write_dated_csv
+from hemtally.sources.scratch import written_once
 
 
 def daily_load(result: DataFrame, job: str, folder: str, target: str, run_date: date | str) -> str:
     """Write ``<folder>/<job>_<yesterday>``, load the same rows into ``target``, return the CSV's path.
 
-    The load reads the CSV back, so the query runs once and both hold the same rows.
+    The query runs once. The rows are not read back from the CSV, which cannot tell an empty text from NULL.
     """
-    rows = snapshot_rows(result, run_date)
+    rows = written_once(snapshot_rows(result, run_date), job)
     path = write_dated_csv(rows, folder, job, run_date)
-    written = result.sparkSession.read.schema(rows.schema).option("header", True).csv(path)
-    load_snapshot(written, target, run_date)
+    load_snapshot(rows, target, run_date)
     return path

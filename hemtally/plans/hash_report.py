@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hemtally.operators.hashes import LOOKUP_COLUMNS, classify_hashes, convert_hashes
-from hemtally.operators.matching import domain_breakdown, match_counts, match_flags, pair_stats
+from hemtally.operators.matching import domain_breakdown, match_counts, match_flags, matched_stats, pair_stats
 from hemtally.sinks.delimited import write_delimited
 from hemtally.sources.delimited import read_delimited
+from hemtally.sources.scratch import written_once
 from hemtally.sources.snapshots import latest_value
 
 
@@ -31,9 +32,13 @@ def stat_report(
     snapshot: str | None = None,
     n: int = 50,
 ) -> dict[str, DataFrame]:
-    """The parts of the statistics report. With a converted file the matches are those of its hashes."""
-    stats = pair_stats(pairs, snapshot)
+    """The parts of the statistics report. With a converted file the matches are those of its hashes.
+
+    The pair table is counted once: the counts of the client's hashes are written to scratch, and both match reports
+    read them.
+    """
     client = original if converted is None else converted
+    stats = written_once(matched_stats(pair_stats(pairs, snapshot), client), "matched-stats")
     report = {"hash_types": classify_hashes(original)}
     if converted is not None:
         report["hash_types_converted"] = classify_hashes(converted)

@@ -1,7 +1,7 @@
 """Where the input comes from: delimited files, snapshot tables, warehouse queries."""
 
 from hemtally.sources.delimited import day_paths, malformed_rows, read_delimited
-from hemtally.sources.scratch import scratch_path
+from hemtally.sources.scratch import scratch_path, written_once
 from hemtally.sources.snapshots import at_snapshot, latest_partition, latest_snapshot, latest_value
 from hemtally.sources.warehouse import jdbc_rows, query_rows
 
@@ -16,4 +16,5 @@ __all__ = [
     "query_rows",
     "read_delimited",
     "scratch_path",
+    "written_once",
 ]

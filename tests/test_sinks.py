@@ -54,11 +54,14 @@ def test_dated_csv_has_a_header_and_refuses_a_file_type(spark, tmp_path):
 
 
 def test_daily_load_keeps_a_csv_and_loads_the_same_rows(spark, tmp_path):
-    result = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, n int")
+    result = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("", 3), (None, 3), ('x\n"y', 4)], "k string, n int")
     for _ in range(2):
         path = daily_load(result, "job", str(tmp_path / "csv"), str(tmp_path / "t"), RUN)
-    assert rows(spark.read.parquet(str(tmp_path / "t"))) == [("a", 1, DAY), ("b", 2, DAY)]
-    assert rows(spark.read.option("header", True).csv(path)) == [("a", "1", "2024-01-30"), ("b", "2", "2024-01-30")]
+    loaded = rows(spark.read.parquet(str(tmp_path / "t")))
+    assert loaded == [("", 3, DAY), ("a", 1, DAY), ("b", 2, DAY), ('x\n"y', 4, DAY), (None, 3, DAY)]
+    text = spark.read.option("header", True).option("multiLine", True).csv(path)
+    assert rows(text.filter("n < 3")) == [("a", "1", "2024-01-30"), ("b", "2", "2024-01-30")]
+    assert text.count() == 5
 
 
 def test_file_count_is_capped(spark, tmp_path):

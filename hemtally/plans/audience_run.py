@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,12 +75,16 @@ def refresh_daily_counts(
     depend on the run date. Days in ``redo`` are computed again and replaced, e.g. after late impressions.
     """
     skipped = {as_day(day) for day in skip_dates}
-    stored = _stored_days(impressions, store, run_date, max_days) - {as_day(day) for day in redo}
+    none = lookback(impressions, run_date, 0)
+    _days(daily_counts(none, keys)).write.mode("ignore").partitionBy("date_p").parquet(store)
+    # At most max_days values.
+    kept = read_daily_counts(impressions, store, run_date, (), max_days).select("date_p").distinct().collect()
+    stored = {row.date_p for row in kept} - {as_day(day) for day in redo}
     window = [day for day in days_before(run_date, 1, max_days) if day not in skipped]
     missing = [day for day in window if day not in stored]
     if missing:
         rows = lookback(impressions, run_date, max_days, skip_dates=skipped | stored)
-        counts = daily_counts(rows, keys, members).withColumn("date_p", F.col("date_p").cast("date"))
+        counts = _days(daily_counts(rows, keys, members))
         # Each day's rows together, so that a task writes few files; a large day is split.
         write_days(counts.hint("rebalance", "date_p"), store, "date_p")
     return missing
@@ -99,24 +102,13 @@ def read_daily_counts(
 
     ``impressions`` only tells the types of the keys, so that a store without any match can be read.
     """
-    return lookback(_stored(impressions, store, keys), run_date, max_days, skip_dates)
-
-
-def _stored(impressions: DataFrame, store: str, keys: Sequence[str]) -> DataFrame:
     fields = [impressions.schema[key] for key in keys]
     schema = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("date_p", T.DateType())])
-    return impressions.sparkSession.read.schema(schema).parquet(store)
+    return lookback(impressions.sparkSession.read.schema(schema).parquet(store), run_date, max_days, skip_dates)
 
 
-def _stored_days(impressions: DataFrame, store: str, run_date: date | str, max_days: int) -> set[date]:
-    try:
-        kept = _stored(impressions, store, ())
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return set()
-        raise
-    # At most max_days values.
-    return {row.date_p for row in lookback(kept, run_date, max_days).select("date_p").distinct().collect()}
+def _days(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("date_p", F.col("date_p").cast("date"))
 
 
 # The results of a run: name, keys, lookback days, and what counts them.

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 
@@ -14,6 +16,14 @@ def by_key(df: DataFrame, key: str) -> dict:
 
 
 def plan(df: DataFrame) -> str:
-    """The physical plan after running the query."""
+    """The physical plan after running the query, without the plans that AQE started from."""
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    kept, dropped_below = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        start = len(re.match("[ :|+-]*", line).group())
+        if dropped_below is not None and start >= dropped_below:
+            continue
+        dropped_below = start if line[start:].startswith("== Initial Plan") else None
+        if dropped_below is None:
+            kept.append(line)
+    return "\n".join(kept)

@@ -104,10 +104,13 @@ def _distribution(
     counted by size, and percentiles come from those histograms: different sizes add up to no more than the tokens, so
     N tokens have at most about sqrt(2N) of them and a histogram stays small however large the file is.
     """
+    keys = {"cluster": F.col("cluster_id").cast("string"), "pid": F.col("pid")}
+    # An exploded array and not an unpivot: Spark does not see that two unpivots are the same, and the sketches, which
+    # need the sizes as well, would read the file again.
+    group = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), keys[kind].alias("key")) for kind in kinds)))
     sizes = (
-        long.select("domain", F.col("cluster_id").cast("string").alias("cluster"), F.col("pid"))
-        .unpivot("domain", list(kinds), "kind", "key")
-        .groupBy("kind", "domain", "key")
+        long.select("domain", group.alias("group"))
+        .groupBy(F.col("group.kind").alias("kind"), "domain", F.col("group.key").alias("key"))
         .agg(F.count("*").alias("ct"))
     )
     if accuracy is None:

@@ -21,6 +21,7 @@ from hemtally.operators import (
     match_counts,
     match_flags,
     pair_stats,
+    pids_per_cluster,
     user_agent_counts,
 )
 from hemtally.operators.audience import flat_impressions
@@ -129,11 +130,15 @@ def test_a_short_list_is_applied_before_anything_is_shuffled(spark, skewed):
 
 def test_cluster_report_reads_the_file_once_and_joins_nothing(spark, tmp_path):
     spark.createDataFrame([(1, "aaid:1|7:2"), (2, "idfa:1")], "id long, tokens string").write.parquet(str(tmp_path / "c"))
-    report = cluster_report(explode_clusters(spark.read.parquet(str(tmp_path / "c")), "id", "tokens"))
-    text = plan(report)
+    long = explode_clusters(spark.read.parquet(str(tmp_path / "c")), "id", "tokens")
+    text = plan(cluster_report(long))
     assert text.count("FileScan") == 1
     assert "Join" not in text
     assert text.count(" Exchange ") == 5
+    # Sketches come from the same shuffled sizes as the other measures.
+    text = plan(pids_per_cluster(long, accuracy=100))
+    assert text.count("FileScan") == 1
+    assert "ReusedExchange" in text
 
 
 @pytest.fixture(scope="module")

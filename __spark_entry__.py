@@ -250,22 +250,24 @@ _INPUTS = {
                o_orderstatus as os, o_orderpriority as category_id
         from orders""",
     "emails": """
-        select md5(cast(c_custkey as varchar)) as md5, '20240201' as date_p from customer where c_custkey % 2 = 0
-        union all select md5(cast(c_custkey as varchar)), '20240201' from customer where c_custkey % 10 = 0
+        select md5(cast(c_custkey as varchar)) as md5, '20240201' as date_p from customer where c_acctbal >= 4500
+        union all select md5(cast(c_custkey as varchar)), '20240201' from customer where c_acctbal >= 9000
         union all select md5(cast(c_custkey as varchar)), '20240101' from customer""",
     "client_mixed": """
         select case c_custkey % 6 when 0 then md5(c_name) when 1 then sha1(c_name) when 2 then sha256(c_name)
                                   when 3 then upper(md5(c_name)) when 4 then null else 'not-a-hash' end as hem
         from customer
-        union all select md5(c_name) from customer where c_custkey % 60 = 0""",
+        union all select md5(c_name) from customer where c_acctbal >= 9000""",
     "client_md5": """
-        select md5(c_name) as hem from customer where c_custkey % 3 = 0
-        union all select md5(c_name) from customer where c_custkey % 30 = 0
-        union all select cast(null as varchar) from region where r_regionkey = 0""",
+        select case when c_nationkey <> 0 then md5(c_name) end as hem from customer where c_mktsegment = 'BUILDING'
+        union all select case when c_nationkey <> 0 then md5(c_name) end
+                  from customer where c_mktsegment = 'BUILDING' and c_acctbal >= 8000""",
     "client_sha1": """
-        select sha1(c_name) as sh1 from customer where c_custkey % 3 = 1
-        union all select sha1(c_name) from customer where c_custkey % 30 = 1""",
-    "client_sha2": "select sha256(c_name) as sh2 from customer where c_custkey % 3 = 2",
+        select sha1(c_name) as sh1 from customer where c_mktsegment = 'AUTOMOBILE'
+        union all select sha1(c_name) from customer where c_mktsegment = 'AUTOMOBILE' and c_acctbal >= 8000""",
+    "client_sha2": """
+        select sha256(c_name) as sh2 from customer where c_mktsegment = 'MACHINERY'
+        union all select sha256(c_name) from customer where c_mktsegment = 'MACHINERY' and c_acctbal >= 8000""",
     "pairs": """
         select md5(c_name) as hem,
                case o_orderkey % 7 when 0 then 'aaid' when 1 then 'idfa'
@@ -273,7 +275,7 @@ _INPUTS = {
                case when n_regionkey = 1 then 'US' else 'EU' end as region,
                case when o_orderdate < timestamp '2001-01-01 00:00:00' then '20001231' else '20010801' end as date_p
         from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""",
-    "names": "select cast(100 + n_nationkey as varchar) as id, n_name as name from nation where n_nationkey < 5",
+    "names": "select cast(100 + n_nationkey as varchar) as id, n_name as name from nation",
     "graph": """
         select md5(c_name) as hash,
                concat(case when c_custkey % 2 = 0 then 'd' else 'l' end, cast(c_custkey as varchar)) as cookie,
@@ -283,13 +285,13 @@ _INPUTS = {
                                 substring(md5(c_name), 21, 12))
                     else concat('x', md5(c_name)) end as identifier,
                '20240130' as date_p
-        from customer where c_custkey % 4 <> 1
+        from customer where c_acctbal < 9000
         union all
         select md5(c_name), concat('d', cast(c_custkey as varchar)), concat('x', md5(c_name)), '20240110'
         from customer""",
     "lookup": """
         select md5(c_name) as md5, sha1(c_name) as sh1, sha256(c_name) as sh2, '20240115' as date_p
-        from customer where c_custkey % 5 <> 0
+        from customer where c_acctbal >= 0
         union all select md5(c_name), sha1(c_name), sha256(c_name), '20231231' from customer""",
     "weblog": """
         select cast(ts as date) as log_date, cast(100 + event_id % 4 as varchar) as adv_id,
@@ -313,7 +315,7 @@ _INPUTS = {
     "target": 'select event_type as kind, user_id as "user", cast(ts as date) as event_date from events',
     "activity": """
         select user_id as template_id, cast(ts as date) as activity_date, count(*) as decisions
-        from events where user_id % 10 <> 0 or ts < timestamp '2024-01-30 00:00:00' group by 1, 2""",
+        from events group by 1, 2""",
     "owners": """
         select c_custkey as template_id, c_name as template_name,
                concat(' ', lower(c_mktsegment), '@example.com ') as email_address, c_mktsegment as am_name,

@@ -1,0 +1,117 @@
+import random
+
+import pytest
+
+from hemtally.llm import ngram_join
+from hemtally.llm.ngram_join import Similarity, group_keys, near_duplicates
+from hemtally.llm.words import shingle_sets
+
+SCHEMA = "doc_id long, text string, source string"
+
+
+def words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\v\f\r":
+        lower = lower.replace(c, " ")
+    return [w for w in lower.split(" ") if w]
+
+
+def shingles(text, k):
+    w = words(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def brute(rows, k, num, den):
+    sets = [shingles(t, k) for _, t, _ in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                group[root(i)] = root(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[root(i)] = min(r[0], least.get(root(i), r[0]))
+    return sorted(((r[0], len(sets[i]), least.get(root(i))) for i, r in enumerate(rows)), key=str)
+
+
+def corpus(seed, size=120):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    bases = [[r.choice(vocabulary) for _ in range(r.choice([3, 5, 9, 20, 60, 200, 700]))] for _ in range(12)]
+    rows = []
+    for i in range(size):
+        w = list(r.choice(bases))
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3, 5])):
+            at = r.randrange(len(w))
+            w[at : at + r.choice([0, 1, 2])] = [r.choice(vocabulary)]
+        rows.append((i, " ".join(w), "s"))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [0])
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (1, 60)])
+def test_same_groups_as_brute_force(spark, seed, k, num):
+    rows = corpus(seed)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), k, num, 100).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, k, num, 100)
+
+
+def test_large_buckets_are_dealt_into_blocks(spark, monkeypatch):
+    """Chains of near copies whose ends do not link: buckets stay mixed and are joined inside."""
+    r = random.Random(5)
+    base = [f"x{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in r.sample(range(150), 4):
+            w[at] = f"y{i}_{at}"
+        rows.append((i, " ".join(w), "s"))
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), 4, 70, 100).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 4, 70, 100)
+
+
+def test_nulls_empty_texts_and_repeated_rows(spark):
+    rows = [(1, None, None), (2, "", "s"), (3, " \n", "s"), (4, "a b", "s"), (5, "A\tB", "s"), (5, "A\tB", "s"), (None, "a b", "s"), (None, "q", "s"), (7, "ab", "s")]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), 4, 85, 100).collect()
+    expected = [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (None, 1, 4), (None, 1, None), (7, 1, 7)]
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+    assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_clashing_columns_do_not_matter(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, 6, 7), (2, "a b c", 5, 6, 7)], "doc_id long, text string, sid int, th int, key int")
+    assert {tuple(r) for r in near_duplicates(df).collect()} == {(1, 1, 1), (2, 1, 1)}
+    assert [r["doc_id"] for r in ngram_join.keep_one(df).collect()] == [1]
+
+
+@pytest.mark.parametrize("n", [6, 7, 12, 31, 40, 64, 127, 500, 3000])
+def test_linked_sets_share_a_key(n):
+    """At the least similarity that links, whatever the sizes."""
+    r = random.Random(n)
+    similarity = Similarity(85, 100)
+    for _ in range(40):
+        a = r.sample(range(10**6), n)
+        b = set(a)
+        while True:
+            c = set(b)
+            if r.random() < 0.6:
+                c.discard(r.choice(sorted(c)))
+            if r.random() < 0.6:
+                c.add(r.randrange(10**7))
+            both = len(c & set(a))
+            if 100 * both < 85 * (len(c) + n - both):
+                break
+            b = c
+        if b == set(a):
+            continue
+        x, y = (shingle_sets([" ".join(map(str, s))], 1)[0] for s in (a, b))
+        assert set(group_keys(x, similarity)) & set(group_keys(y, similarity))

@@ -24,6 +24,12 @@ WINDOW = ("2024-01-05", "2024-01-20")
 SKIPPED = ("2001-07-15",)
 
 
+try:  # the training-data operators can be taken out as a whole
+    import corpus_pipeline
+    from hemtally.llm import queries as llm
+except ImportError:
+    llm = None
+
 def entry(spark: SparkSession) -> DataFrame:
     """The domain breakdown of a client's hashes."""
     return _domain_breakdown(spark, "/root/testdata/sf0.001")
@@ -202,7 +208,7 @@ def _alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator or form of it; each takes (spark, data folder)."""
-    return {
+    own = {
         "file_profile": _file_profile,
         "cluster_file_check": _cluster_file_check,
         "cluster_long_form": _long_form,
@@ -237,6 +243,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "period_activity": _period_activity,
         "alert_rows": _alert_rows,
     }
+    return own | (llm.queries() | {"pipeline": llm.shipped(corpus_pipeline.run)} if llm else {})
 
 
 # The derived inputs of FIXTURES.md, as SQL.
@@ -427,6 +434,11 @@ def _counts_within(windows: tuple[int, ...]) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    """The SQL that answers a query, where SQL can express it."""
+    return _own_answers() | (llm.oracle_sql() if llm else {})
+
+
+def _own_answers() -> dict[str, str]:
     """The expected answer of each query. ``pids_per_cluster_approx`` has none: its sketch may differ from run to run."""
     counts = _with("recent", _counts_within((30, 60, 90)))
     agents = _with(

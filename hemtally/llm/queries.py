@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality, token_counts
+from . import curves, decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url."""
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document; a token across a line's end counts where most of it is."""
     return token_counts.section_tokens(_table(spark, sf_dir, "documents"))
@@ -56,6 +61,16 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, and all spans; n_found counts what contexts added."""
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", pii.of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"),
+        pii.spelled(F.array_sort(F.concat("base", "found"))).alias("spans"), F.size("found").cast("long").alias("n_found"),
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by a field trained without the held-out quarter."""
     documents, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
@@ -65,6 +80,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document."""
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector."""
+    return curves.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), 2048)
@@ -80,7 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: shipped(f)
         for f in (
-            op2_token_counts, op3_line_dedup, op4_ngram_join, op6_quality, op9_best_fit_packing, op10_decontamination,
+            op1_url_filter, op2_token_counts, op3_line_dedup, op4_ngram_join, op5_pii, op6_quality, op7_license_scan, op8_nearest,
+            op9_best_fit_packing, op10_decontamination,
         )
     }
 

@@ -29,12 +29,14 @@ _SHAPES = {
     "phone": r"^[+(]?[0-9][0-9().-]{6,20}$",
 }
 _EDGES = "\"'`()[]{}<>.,;:!?*#$%&|="
+_RUN = 512
 ROUNDS, LEAST_SEEDS, TRUST, PRIOR = 3, 3, 0.7, 2.0
 
 
 def _spans(text: Column, matches: Column, between: Column) -> Column:
-    """(start, end, value) of matches, from the pieces of text before each."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+    """(start, end, value) of matches, from the pieces of text before each; runs of matches are joined, as appending one by one copies all."""
+    nothing = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["between"])
@@ -42,8 +44,13 @@ def _spans(text: Column, matches: Column, between: Column) -> Column:
         one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
+    def run(acc: Column, some: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), nothing.alias("out"))
+        return F.aggregate(some, begin, step, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))
+
     pairs = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("value"), p.alias("between")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    begins = F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1)), F.lit(_RUN))
+    return F.aggregate(F.transform(begins, lambda i: F.slice(pairs, i, F.lit(_RUN))), start, run, lambda acc: acc["out"])
 
 
 def _valid(kind: str, value: Column) -> Column:

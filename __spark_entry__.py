@@ -17,7 +17,7 @@ from hemtally.operators.audience import CATEGORY, USER_AGENT, WINDOWS_WITH_180,
 from hemtally.operators.clusters import FIVE_POINTS  # noqa: E402
 from hemtally.sample import ACTIVITY_RUN, IMPRESSION_RUN, Sample  # noqa: E402
 from hemtally.sinks import load_snapshot, write_delimited  # noqa: E402
-from hemtally.sources import scratch_path  # noqa: E402
+from hemtally.sources import shared_path  # noqa: E402
 
 ADVERTISER = "101"
 WINDOW = ("2024-01-05", "2024-01-20")
@@ -72,7 +72,7 @@ def _hash_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hash_types_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "client")
+    path = shared_path(spark, "client")
     write_delimited(Sample(spark, sf_dir).client_mixed(), path)
     return ops.classify_hashes(plans.client_hashes(spark, f"{path}/part-*"))
 
@@ -152,7 +152,7 @@ def _from_daily_counts(
     """Two runs, the later one adding the days since the earlier one; counted for the later one."""
     sample = Sample(spark, sf_dir)
     impressions, members = flat_impressions(sample.impressions()), ops.audience_members(sample.emails())
-    store = scratch_path(spark, "daily-counts")
+    store = shared_path(spark, "daily-counts")
     (week_before,) = days_before(IMPRESSION_RUN, 7, 7)
     for run in (week_before, IMPRESSION_RUN):
         plans.refresh_daily_counts(impressions, members, store, run, keys, max_days, SKIPPED)
@@ -190,7 +190,7 @@ def _date_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _snapshot_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target loaded with its own dates, then one day of it replaced, twice."""
     sample = Sample(spark, sf_dir)
-    target = scratch_path(spark, "snapshots")
+    target = shared_path(spark, "snapshots")
     load_snapshot(sample.load_target(), target, ACTIVITY_RUN)
     for _ in range(2):
         load_snapshot(sample.load_incoming(), target, ACTIVITY_RUN)
@@ -257,24 +257,24 @@ _INPUTS = {
                o_orderstatus as os, o_orderpriority as category_id
         from orders""",
     "emails": """
-        select md5(cast(c_custkey as varchar)) as md5, '20240201' as date_p from customer where c_acctbal >= 4500
-        union all select md5(cast(c_custkey as varchar)), '20240201' from customer where c_acctbal >= 9000
+        select case when c_acctbal >= 4500 then md5(cast(c_custkey as varchar))
+                    else md5(concat(cast(c_custkey as varchar), 'x')) end as md5, '20240201' as date_p
+        from customer, unnest(case when c_acctbal >= 9000 then [0, 1] else [0] end)
         union all select md5(cast(c_custkey as varchar)), '20240101' from customer""",
     "client_mixed": """
         select case c_custkey % 6 when 0 then md5(c_name) when 1 then sha1(c_name) when 2 then sha256(c_name)
                                   when 3 then upper(md5(c_name)) when 4 then null else 'not-a-hash' end as hem
         from customer
-        union all select md5(c_name) from customer where c_acctbal >= 9000""",
+        union all select md5(c_name) from customer, unnest(case when c_acctbal >= 9000 then [0] else [] end)""",
     "client_md5": """
-        select case when c_nationkey <> 0 then md5(c_name) end as hem from customer where c_mktsegment = 'BUILDING'
-        union all select case when c_nationkey <> 0 then md5(c_name) end
-                  from customer where c_mktsegment = 'BUILDING' and c_acctbal >= 8000""",
+        select case when c_nationkey <> 0 then md5(case when c_mktsegment = 'BUILDING' then c_name else concat(c_name, 'x') end) end as hem
+        from customer, unnest(case when c_acctbal >= 8000 then [0, 1] else [0] end)""",
     "client_sha1": """
-        select sha1(c_name) as sh1 from customer where c_mktsegment = 'AUTOMOBILE'
-        union all select sha1(c_name) from customer where c_mktsegment = 'AUTOMOBILE' and c_acctbal >= 8000""",
+        select sha1(case when c_mktsegment = 'AUTOMOBILE' then c_name else concat(c_name, 'x') end) as sh1
+        from customer, unnest(case when c_acctbal >= 8000 then [0, 1] else [0] end)""",
     "client_sha2": """
-        select sha256(c_name) as sh2 from customer where c_mktsegment = 'MACHINERY'
-        union all select sha256(c_name) from customer where c_mktsegment = 'MACHINERY' and c_acctbal >= 8000""",
+        select sha256(case when c_mktsegment = 'MACHINERY' then c_name else concat(c_name, 'x') end) as sh2
+        from customer, unnest(case when c_acctbal >= 8000 then [0, 1] else [0] end)""",
     "pairs": """
         select md5(c_name) as hem,
                case o_orderkey % 7 when 0 then 'aaid' when 1 then 'idfa'
@@ -284,7 +284,7 @@ _INPUTS = {
         from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""",
     "names": "select cast(100 + n_nationkey as varchar) as id, n_name as name from nation",
     "graph": """
-        select md5(c_name) as hash,
+        select case when c_acctbal < 9000 then md5(c_name) else md5(concat(c_name, 'x')) end as hash,
                concat(case when c_custkey % 2 = 0 then 'd' else 'l' end, cast(c_custkey as varchar)) as cookie,
                case when c_custkey % 2 = 0
                     then concat(substring(md5(c_name), 1, 8), '-', substring(md5(c_name), 9, 4), '-',
@@ -292,19 +292,19 @@ _INPUTS = {
                                 substring(md5(c_name), 21, 12))
                     else concat('x', md5(c_name)) end as identifier,
                '20240130' as date_p
-        from customer where c_acctbal < 9000
+        from customer
         union all
         select md5(c_name), concat('d', cast(c_custkey as varchar)), concat('x', md5(c_name)), '20240110'
         from customer""",
     "lookup": """
-        select md5(c_name) as md5, sha1(c_name) as sh1, sha256(c_name) as sh2, '20240115' as date_p
-        from customer where c_acctbal >= 0
+        select md5(name) as md5, sha1(name) as sh1, sha256(name) as sh2, '20240115' as date_p
+        from (select case when c_acctbal >= 0 then c_name else concat(c_name, 'y') end as name from customer)
         union all select md5(c_name), sha1(c_name), sha256(c_name), '20231231' from customer""",
     "weblog": """
         select cast(ts as date) as log_date, cast(100 + event_id % 4 as varchar) as adv_id,
                case when event_id % 5 = 0 then 'null' else concat('d', cast(user_id as varchar)) end as domain_user_id,
                case when event_id % 7 = 0 then null when event_id % 3 = 0 then 'null'
-                    else concat('l', cast(user_id as varchar)) end as lidid
+                    else concat('l', cast(user_id as varchar)) end as linked_cookie
         from events""",
     "clusters": """
         select l_orderkey as cluster_id,
@@ -424,7 +424,7 @@ def _visitors(first: str, last: str) -> str:
     return f"""
         select distinct hash as hem from graph
         where date_p = (select max(date_p) from graph)
-          and cookie in (select lidid {log} and lidid <> 'null'
+          and cookie in (select linked_cookie {log} and linked_cookie <> 'null'
                          union select domain_user_id {log} and domain_user_id <> 'null')"""
 
 
@@ -496,7 +496,7 @@ def _own_answers() -> dict[str, str]:
         "match_flags": _with(
             "client_md5 graph pairs",
             """
-        select distinct c.hem, l.hem is not null as has_lidid, m.hem is not null as has_maid
+        select distinct c.hem, l.hem is not null as has_linked, m.hem is not null as has_maid
         from client_md5 c
         left join (select hash as hem from graph where date_p = (select max(date_p) from graph) and
                    regexp_matches(identifier, '^[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}$')) l

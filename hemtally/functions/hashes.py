@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 MD5_PATTERN = "^[a-f0-9]{32}$"
 SHA1_PATTERN = "^[a-f0-9]{40}$"
 SHA2_PATTERN = "^[a-f0-9]{64}$"
-LIDID_PATTERN = "^[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}$"
+LINKED_PATTERN = "^[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}$"
 MAID_DOMAINS = ("aaid", "idfa")
 
 
@@ -23,8 +23,8 @@ def hash_type(value: Column) -> Column:
     )
 
 
-def is_lidid(identifier: Column) -> Column:
-    return identifier.rlike(LIDID_PATTERN)
+def is_linked_id(identifier: Column) -> Column:
+    return identifier.rlike(LINKED_PATTERN)
 
 
 def is_maid_domain(domain: Column, maid_domains: tuple[str, ...] = MAID_DOMAINS) -> Column:

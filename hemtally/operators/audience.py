@@ -34,8 +34,8 @@ def audience_members(emails: DataFrame, snapshot: str | None = None) -> DataFram
 def in_audience(df: DataFrame, members: DataFrame | None, unique: bool = False) -> DataFrame:
     """Rows whose md5 is listed; all rows if there is no list.
 
-    Best placed after an aggregation that keeps md5: frequent hashes arrive combined, and for a short list Catalyst
-    moves the join below it, down to the scan. ``unique`` tells that ``df`` is grouped by md5 alone; a distinct list
+    Best placed after an aggregation by md5: frequent hashes arrive combined, and for a short list Catalyst
+    moves the join below it, down to the scan. Before one by keys that hardly combine. ``unique`` tells that ``df`` is grouped by md5 alone; a distinct list
     then joins it without a further shuffle.
     """
     if members is None:
@@ -110,8 +110,10 @@ def daily_counts(
     ``days_since`` is left out on purpose. It depends on the run date, so it is derived again from the day when the
     counts are merged.
     """
-    counts = rows.groupBy(date_col, *keys).agg(F.count("*").alias("n"))
-    return in_audience(counts, members).select(date_col, *keys, "n")
+    if tuple(keys) == ("md5",):
+        counts = rows.groupBy(date_col, *keys).agg(F.count("*").alias("n"))
+        return in_audience(counts, members).select(date_col, *keys, "n")
+    return in_audience(rows, members).groupBy(date_col, *keys).agg(F.count("*").alias("n"))
 
 
 def date_coverage(
@@ -135,10 +137,9 @@ def date_coverage(
 
 
 def _detail_counts(rows: DataFrame, members: DataFrame | None, keys: Sequence[str], days: int) -> DataFrame:
-    counts = (
-        rows.filter(F.col("days_since") <= days).groupBy(*keys).agg(F.sum(_count(rows)).alias(f"ct_{days}"))
-    )
-    return in_audience(counts, members).select(*keys, f"ct_{days}")
+    # These keys hardly combine, so non-members go first: they are shuffled once at most.
+    recent = in_audience(rows.filter(F.col("days_since") <= days), members)
+    return recent.groupBy(*keys).agg(F.sum(_count(rows)).alias(f"ct_{days}"))
 
 
 def _count(rows: DataFrame) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemtally.functions.hashes import MAID_DOMAINS, is_lidid, is_maid_domain
+from hemtally.functions.hashes import MAID_DOMAINS, is_linked_id, is_maid_domain
 from hemtally.sources.snapshots import at_snapshot
 
 
@@ -83,21 +83,21 @@ def match_flags(
     pair_snapshot: str | None = None,
     maid_domains: tuple[str, ...] = MAID_DOMAINS,
 ) -> DataFrame:
-    """``[hem, has_lidid, has_maid]`` for each distinct client hash; NULL stays, with both flags false.
+    """``[hem, has_linked, has_maid]`` for each distinct client hash; NULL stays, with both flags false.
 
     All three key lists are distinct before they are joined, so no row is multiplied and all share one partitioning
     by hash. The semi joins look redundant but carry a short client list down to the scans of the large tables,
     whose other keys are then dropped before any shuffle.
     """
     wanted = client.select("hem").distinct()
-    linked = at_snapshot(graph, graph_snapshot).filter(is_lidid(F.col("identifier"))).select(F.col("hash").alias("hem"))
+    linked = at_snapshot(graph, graph_snapshot).filter(is_linked_id(F.col("identifier"))).select(F.col("hash").alias("hem"))
     mobile = at_snapshot(pairs, pair_snapshot).filter(is_maid_domain(F.col("domain"), maid_domains)).select("hem")
 
     def found(keys: DataFrame, flag: str) -> DataFrame:
         return keys.distinct().join(wanted, "hem", "left_semi").withColumn(flag, F.lit(True))
 
     return (
-        wanted.join(found(linked, "has_lidid"), "hem", "left")
+        wanted.join(found(linked, "has_linked"), "hem", "left")
         .join(found(mobile, "has_maid"), "hem", "left")
-        .select("hem", F.col("has_lidid").isNotNull().alias("has_lidid"), F.col("has_maid").isNotNull().alias("has_maid"))
+        .select("hem", F.col("has_linked").isNotNull().alias("has_linked"), F.col("has_maid").isNotNull().alias("has_maid"))
     )

@@ -26,7 +26,7 @@ def log_columns() -> list[str]:
     columns = [f"_c{n}" for n in range(FIELD_COUNT)]
     columns[ADVERTISER_FIELD] = "adv_id"
     columns[FIRST_PARTY_FIELD] = "domain_user_id"
-    columns[THIRD_PARTY_FIELD] = "lidid"
+    columns[THIRD_PARTY_FIELD] = "linked_cookie"
     return columns
 
 
@@ -34,7 +34,7 @@ def advertiser_cookies(weblog: DataFrame, adv_id: str) -> DataFrame:
     """``[cookie]`` of both kinds, without NULL and the text ``null``. Reads the log once."""
     return (
         weblog.filter(F.col("adv_id") == adv_id)
-        .select(F.explode(F.array("lidid", "domain_user_id")).alias("cookie"))
+        .select(F.explode(F.array("linked_cookie", "domain_user_id")).alias("cookie"))
         .filter(F.col("cookie") != MISSING)
     )
 

@@ -72,24 +72,34 @@ def refresh_daily_counts(
     """Add the window's missing days to a store of daily counts; returns the days that were computed.
 
     The store is a parquet table partitioned by ``date_p``, one per email snapshot and set of keys. Its days do not
-    depend on the run date. Days in ``redo`` are computed again and replaced, e.g. after late impressions.
+    depend on the run date. Days in ``redo`` are computed again and replaced, e.g. after late impressions. Every day that was
+    computed has a row that marks it, the only one where nothing matched: it is not read again, and a day computed again without
+    matches loses the rows it had.
     """
     skipped = {as_day(day) for day in skip_dates}
     none = lookback(impressions, run_date, 0)
     _days(daily_counts(none, keys)).write.mode("ignore").partitionBy("date_p").parquet(store)
     # At most max_days values.
-    kept = read_daily_counts(impressions, store, run_date, (), max_days).select("date_p").distinct().collect()
+    kept = _store_rows(impressions, store, run_date, (), max_days).select("date_p").distinct().collect()
     stored = {row.date_p for row in kept} - {as_day(day) for day in redo}
     window = [day for day in days_before(run_date, 1, max_days) if day not in skipped]
     missing = [day for day in window if day not in stored]
     if missing:
         rows = lookback(impressions, run_date, max_days, skip_dates=skipped | stored)
         counts = _days(daily_counts(rows, keys, members))
+        marked = counts.unionByName(_markers(counts, missing))
         # Each day's rows together, so that a task writes few files; a large day is split.
-        write_days(counts.hint("rebalance", "date_p"), store, "date_p")
+        write_days(marked.hint("rebalance", "date_p"), store, "date_p")
     return missing
 
 
+def _markers(counts: DataFrame, days: Sequence[date]) -> DataFrame:
+    """A row that counts nothing for each day: it keeps the day's partition, and replaces what the day held before."""
+    values = [tuple(day if name == "date_p" else 0 if name == "n" else None for name in counts.columns) for day in days]
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in counts.schema])
+    return counts.sparkSession.createDataFrame(values, nullable)
+
+
 def read_daily_counts(
     impressions: DataFrame,
     store: str,
@@ -102,6 +112,17 @@ def read_daily_counts(
 
     ``impressions`` only tells the types of the keys, so that a store without any match can be read.
     """
+    return _store_rows(impressions, store, run_date, keys, max_days, skip_dates).filter(F.col("n") > 0)
+
+
+def _store_rows(
+    impressions: DataFrame,
+    store: str,
+    run_date: date | str,
+    keys: Sequence[str],
+    max_days: int,
+    skip_dates: Iterable[date | str] = (),
+) -> DataFrame:
     fields = [impressions.schema[key] for key in keys]
     schema = T.StructType([*fields, T.StructField("n", T.LongType()), T.StructField("date_p", T.DateType())])
     return lookback(impressions.sparkSession.read.schema(schema).parquet(store), run_date, max_days, skip_dates)

@@ -21,9 +21,10 @@ def deliver_cookie_hashes(
     out: str,
     start: date | str | None = None,
     end: date | str | None = None,
+    graph_snapshot: str | None = None,
 ) -> str:
     """Read ``log_base/yyyy/MM/dd/<hour>/`` for the window, write ``out/<end>`` as gzip TSV and return that path."""
-    newest = latest_value(graph)
+    newest = graph_snapshot or latest_value(graph)
     last = as_day(newest if end is None else end)
     first = last - timedelta(days=DAYS_BEFORE_END) if start is None else as_day(start)
     log = read_delimited(spark, day_paths(log_base, first, last), log_columns())

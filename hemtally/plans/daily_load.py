@@ -6,9 +6,9 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
-from hemtally.sinks.daily import load_snapshot, snapshot_rows
+from hemtally.sinks.daily import load_rows, snapshot_rows
 from hemtally.sinks.delimited import write_dated_csv
-from hemtally.sources.scratch import written_once
+from hemtally.sources.shared import WrittenOnce
 
 
 def daily_load(result: DataFrame, job: str, folder: str, target: str, run_date: date | str) -> str:
@@ -16,7 +16,7 @@ def daily_load(result: DataFrame, job: str, folder: str, target: str, run_date:
 
     The query runs once. The rows are not read back from the CSV, which cannot tell an empty text from NULL.
     """
-    rows = written_once(snapshot_rows(result, run_date), job)
-    path = write_dated_csv(rows, folder, job, run_date)
-    load_snapshot(rows, target, run_date)
+    with WrittenOnce(snapshot_rows(result, run_date), job) as rows:
+        path = write_dated_csv(rows, folder, job, run_date)
+        load_rows(rows, target, run_date)
     return path

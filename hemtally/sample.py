@@ -1,7 +1,7 @@
 """Inputs of the operators derived from TPC-H-like tables, as FIXTURES.md describes them.
 
-Every table is read whole. A list's members are the customers of a market segment or with a certain balance, so that joins
-have hits and misses.
+Every table is read whole: each list has a row for every customer. Whether a row finds a partner is decided by its value: a customer
+that should miss lists the hash of another text.
 """
 
 from __future__ import annotations
@@ -40,17 +40,12 @@ class Sample:
         )
 
     def emails(self) -> DataFrame:
+        """Two snapshots of all customers; in the newer one those below a balance list another text's hash, the richest twice."""
         customer = self.table("customer")
-        balance = F.col("c_acctbal")
-
-        def part(rows: DataFrame, snapshot: str) -> DataFrame:
-            return rows.select(_md5("c_custkey").alias("md5"), F.lit(snapshot).alias("date_p"))
-
-        return (
-            part(customer.filter(balance >= 4500), "20240201")
-            .union(part(customer.filter(balance >= 9000), "20240201"))
-            .union(part(customer, "20240101"))
-        )
+        key = F.col("c_custkey").cast("string")
+        listed = F.when(F.col("c_acctbal") >= 4500, F.md5(key)).otherwise(F.md5(F.concat(key, F.lit("x"))))
+        newer = _copies(customer, F.col("c_acctbal") >= 9000).select(listed.alias("md5"), F.lit("20240201").alias("date_p"))
+        return newer.union(customer.select(F.md5(key), F.lit("20240101")))
 
     def client_mixed(self) -> DataFrame:
         customer = self.table("customer")
@@ -62,23 +57,22 @@ class Sample:
             .when(kind == 3, F.upper(F.md5("c_name")))
             .when(kind != 4, "not-a-hash")
         )
-        copies = customer.filter(F.col("c_acctbal") >= 9000).select(F.md5("c_name").alias("hem"))
-        return customer.select(hem.alias("hem")).union(copies)
+        extra = F.when(F.col("c_acctbal") >= 9000, F.array(hem, F.md5("c_name"))).otherwise(F.array(hem))
+        return customer.select(F.explode(extra).alias("hem"))
 
     def client_md5(self) -> DataFrame:
-        hem = F.when(F.col("c_nationkey") != 0, F.md5("c_name")).alias("hem")
-        return self._listed_twice("BUILDING").select(hem)
+        hem = F.when(F.col("c_nationkey") != 0, F.md5(_listed("BUILDING"))).alias("hem")
+        return self._listed_twice().select(hem)
 
     def client_sha1(self) -> DataFrame:
-        return self._listed_twice("AUTOMOBILE").select(F.sha1("c_name").alias("sh1"))
+        return self._listed_twice().select(F.sha1(_listed("AUTOMOBILE")).alias("sh1"))
 
     def client_sha2(self) -> DataFrame:
-        return self._listed_twice("MACHINERY").select(F.sha2("c_name", 256).alias("sh2"))
+        return self._listed_twice().select(F.sha2(_listed("MACHINERY"), 256).alias("sh2"))
 
-    def _listed_twice(self, segment: str) -> DataFrame:
-        """A segment's customers, those with a high balance twice."""
-        listed = self.table("customer").filter(F.col("c_mktsegment") == segment)
-        return listed.union(listed.filter(F.col("c_acctbal") >= 8000))
+    def _listed_twice(self) -> DataFrame:
+        """All customers, those with a high balance twice."""
+        return _copies(self.table("customer"), F.col("c_acctbal") >= 8000)
 
     def pairs(self) -> DataFrame:
         seventh = F.col("o_orderkey") % 7
@@ -109,9 +103,8 @@ class Sample:
         plain = F.concat(F.lit("x"), md5)
         parts = [F.substring(md5, start, size) for start, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
         return (
-            customer.filter(F.col("c_acctbal") < 9000)
-            .select(
-                md5.alias("hash"),
+            customer.select(
+                F.when(F.col("c_acctbal") < 9000, md5).otherwise(F.md5(F.concat("c_name", F.lit("x")))).alias("hash"),
                 F.concat(F.when(key % 2 == 0, "d").otherwise("l"), key.cast("string")).alias("cookie"),
                 F.when(key % 2 == 0, F.concat_ws("-", *parts)).otherwise(plain).alias("identifier"),
                 F.lit("20240130").alias("date_p"),
@@ -124,15 +117,13 @@ class Sample:
     def hash_lookup(self) -> DataFrame:
         customer = self.table("customer")
 
-        def part(rows: DataFrame, snapshot: str) -> DataFrame:
-            return rows.select(
-                F.md5("c_name").alias("md5"),
-                F.sha1("c_name").alias("sh1"),
-                F.sha2("c_name", 256).alias("sh2"),
-                F.lit(snapshot).alias("date_p"),
+        def part(name: Column, snapshot: str) -> DataFrame:
+            return customer.select(
+                F.md5(name).alias("md5"), F.sha1(name).alias("sh1"), F.sha2(name, 256).alias("sh2"), F.lit(snapshot).alias("date_p")
             )
 
-        return part(customer.filter(F.col("c_acctbal") >= 0), "20240115").union(part(customer, "20231231"))
+        known = F.when(F.col("c_acctbal") >= 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit("y")))
+        return part(known, "20240115").union(part(F.col("c_name"), "20231231"))
 
     def weblog(self) -> DataFrame:
         event, user = F.col("event_id"), F.col("user_id").cast("string")
@@ -143,7 +134,7 @@ class Sample:
             F.when(event % 7 == 0, None)
             .when(event % 3 == 0, "null")
             .otherwise(F.concat(F.lit("l"), user))
-            .alias("lidid"),
+            .alias("linked_cookie"),
         )
 
     def clusters(self) -> DataFrame:
@@ -206,5 +197,15 @@ class Sample:
         )
 
 
+def _copies(rows: DataFrame, twice: Column) -> DataFrame:
+    """Every row, those that the condition holds for twice."""
+    return rows.withColumn("_copy", F.explode(F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_copy")
+
+
+def _listed(segment: str) -> Column:
+    """A customer's name; outside the segment, a text that nothing else has."""
+    return F.when(F.col("c_mktsegment") == segment, F.col("c_name")).otherwise(F.concat("c_name", F.lit("x")))
+
+
 def _md5(column: str) -> Column:
     return F.md5(F.col(column).cast("string"))

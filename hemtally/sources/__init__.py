@@ -1,11 +1,12 @@
 """Where the input comes from: delimited files, snapshot tables, warehouse queries."""
 
 from hemtally.sources.delimited import day_paths, malformed_rows, read_delimited
-from hemtally.sources.scratch import scratch_path, written_once
+from hemtally.sources.shared import WrittenOnce, remove_path, shared_path
 from hemtally.sources.snapshots import at_snapshot, latest_partition, latest_snapshot, latest_value
 from hemtally.sources.warehouse import jdbc_rows, query_rows
 
 __all__ = [
+    "WrittenOnce",
     "at_snapshot",
     "day_paths",
     "jdbc_rows",
@@ -15,6 +16,6 @@ __all__ = [
     "malformed_rows",
     "query_rows",
     "read_delimited",
-    "scratch_path",
-    "written_once",
+    "remove_path",
+    "shared_path",
 ]

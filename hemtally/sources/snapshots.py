@@ -22,9 +22,12 @@ def at_snapshot(df: DataFrame, snapshot: str | None = None, column: str = "date_
     return df.filter(F.col(column) == F.lit(snapshot))
 
 
-def latest_value(df: DataFrame, column: str = "date_p") -> str | None:
-    """The newest snapshot's name, for jobs that put it into a path. Runs a job that returns one value."""
-    return df.agg(F.max(column)).first()[0]
+def latest_value(df: DataFrame, column: str = "date_p") -> str:
+    """The newest snapshot's name, for jobs that put it into a path. Runs a job that returns one value; a table without any is an error."""
+    value = df.agg(F.max(column)).first()[0]
+    if value is None:
+        raise ValueError(f"the table has no snapshot: {column} has no value")
+    return value
 
 
 def latest_partition(spark: SparkSession, table: str, column: str = "date_p") -> str | None:

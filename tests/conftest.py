@@ -12,14 +12,14 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    scratch = tmp_path_factory.mktemp("spark")
+    folder = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.warehouse.dir", str(scratch / "warehouse"))
-        .config("spark.checkpoint.dir", str(scratch / "shared"))
+        .config("spark.sql.warehouse.dir", str(folder / "warehouse"))
+        .config("spark.checkpoint.dir", str(folder / "shared"))
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

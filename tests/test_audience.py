@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from hemtally.operators import (
     audience_impressions,
@@ -128,12 +129,22 @@ def test_refresh_computes_only_missing_days_unless_told(spark, emails, tmp_path)
     refresh_daily_counts(impressions(spark, DATA), members, store, RUN, max_days=31)
     late = impressions(spark, [*DATA, seen("a", 1), seen("b", 2)])
     computed = refresh_daily_counts(late, members, store, RUN, max_days=31)
-    assert RUN - timedelta(days=1) not in computed and RUN - timedelta(days=2) in computed
-    assert rows(hash_match_counts(read_daily_counts(late, store, RUN, max_days=31))) == [("a", 3, 4, 4), ("b", 1, 1, 1)]
-    refresh_daily_counts(late, members, store, RUN, max_days=31, redo=[RUN - timedelta(days=1)])
+    assert computed == []
+    assert rows(hash_match_counts(read_daily_counts(late, store, RUN, max_days=31))) == [("a", 3, 4, 4)]
+    refresh_daily_counts(late, members, store, RUN, max_days=31, redo=[RUN - timedelta(days=n) for n in (1, 2)])
     assert rows(hash_match_counts(read_daily_counts(late, store, RUN, max_days=31))) == [("a", 4, 5, 5), ("b", 1, 1, 1)]
 
 
+def test_a_day_computed_again_without_matches_is_emptied(spark, emails, tmp_path):
+    members, store, day = audience_members(emails), str(tmp_path / "store"), RUN - timedelta(days=1)
+    refresh_daily_counts(impressions(spark, [*DATA, seen("a", 1)]), members, store, RUN, max_days=31)
+    changed = impressions(spark, DATA).filter(F.col("date_p") != F.lit(day))
+    refresh_daily_counts(changed, members, store, RUN, max_days=31, redo=[day])
+    assert rows(hash_match_counts(read_daily_counts(changed, store, RUN, max_days=31))) == rows(
+        hash_match_counts(lookback(changed, RUN, 31), members)
+    )
+
+
 @pytest.mark.parametrize("kept", [False, True])
 def test_run_writes_three_results(spark, emails, tmp_path, kept):
     df = impressions(spark, DATA)

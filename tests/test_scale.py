@@ -163,7 +163,7 @@ def test_default_log_window_prunes_days(spark, tmp_path):
         spark.range(100)
         .select(
             F.lit("1").alias("adv_id"),
-            cookie.alias("lidid"),
+            cookie.alias("linked_cookie"),
             cookie.alias("domain_user_id"),
             F.date_sub(F.lit(RUN), (F.col("id") % 20).cast("int")).alias("log_date"),
         )

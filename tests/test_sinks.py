@@ -70,7 +70,7 @@ def test_file_count_is_capped(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "o")).count() == 1000
 
 
-LIDID = "0123abcd-0123-abcd-0123-0123456789ab"
+LINKED = "0123abcd-0123-abcd-0123-0123456789ab"
 
 
 @pytest.fixture
@@ -81,7 +81,7 @@ def tables(spark):
             "hem string, domain string, region string, date_p string",
         ),
         "graph": spark.createDataFrame(
-            [("b" * 32, LIDID, "20240130")], "hash string, identifier string, date_p string"
+            [("b" * 32, LINKED, "20240130")], "hash string, identifier string, date_p string"
         ),
         "names": spark.createDataFrame([("100", "News")], "id string, name string"),
         "lookup": spark.createDataFrame(

@@ -14,7 +14,7 @@ from hemtally.sources import (
     malformed_rows,
     query_rows,
     read_delimited,
-    scratch_path,
+    shared_path,
 )
 from helpers import plan, rows
 
@@ -77,7 +77,7 @@ def test_newest_partition_from_the_catalog_skips_empty_ones(spark, table):
         spark.sql("drop table snapshots")
 
 
-def test_scratch_lies_in_the_shared_folder(spark):
+def test_path_lies_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
-    assert scratch_path(spark, "x").startswith(f"{shared}/x-")
-    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+    assert shared_path(spark, "x").startswith(f"{shared}/x-")
+    assert shared_path(spark, "x") != shared_path(spark, "x")

@@ -32,7 +32,7 @@ GRAPH = [
 
 @pytest.fixture
 def weblog(spark):
-    return spark.createDataFrame(LOG, "log_date date, adv_id string, domain_user_id string, lidid string")
+    return spark.createDataFrame(LOG, "log_date date, adv_id string, domain_user_id string, linked_cookie string")
 
 
 @pytest.fixture

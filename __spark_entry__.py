@@ -277,8 +277,8 @@ _INPUTS = {
         from customer, unnest(case when c_acctbal >= 8000 then [0, 1] else [0] end)""",
     "pairs": """
         select md5(c_name) as hem,
-               case o_orderkey % 7 when 0 then 'aaid' when 1 then 'idfa'
-                                   else cast(100 + o_orderkey % 7 as varchar) end as domain,
+               case o_orderkey % 80 when 0 then 'aaid' when 1 then 'idfa'
+                                   else cast(100 + o_orderkey % 80 as varchar) end as domain,
                case when n_regionkey = 1 then 'US' else 'EU' end as region,
                case when o_orderdate < timestamp '2001-01-01 00:00:00' then '20001231' else '20010801' end as date_p
         from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""",
@@ -324,7 +324,8 @@ _INPUTS = {
         select user_id as template_id, cast(ts as date) as activity_date, count(*) as decisions
         from events group by 1, 2""",
     "owners": """
-        select c_custkey as template_id, c_name as template_name,
+        select c_custkey as template_id,
+               case when c_nationkey % 2 = 0 then concat(c_name, ' & <"x">') else c_name end as template_name,
                concat(' ', lower(c_mktsegment), '@example.com ') as email_address, c_mktsegment as am_name,
                c_nationkey as publisher_id, n_name as pub_name, r_regionkey as media_group_id,
                r_name as media_group_name
@@ -537,12 +538,12 @@ def _own_answers() -> dict[str, str]:
             """
         select trim(email_address) as recipient, 'Templates in decline' as subject,
                case when d1 = 0 then 'did not participate' else 'declined significantly' end as status,
-               concat('Hi there ', am_name, ', <br> <br> A template you are the PDM for &mdash; ', template_name, ' (id: ',
+               concat('Hi there ', am_name, ', <br> <br> A template you are the PDM for &mdash; ', replace(replace(replace(replace(template_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), ' (id: ',
                       template_id, ') &mdash; ', status, ' yesterday. Please check it out. <br>',
                       ' <br> <u>Details</u> <br> <br>',
                       ' <b>Media Group Name</b>: ', replace(media_group_name, '&', '&amp;'), ' (id: ', media_group_id,
                       ') <br> <b>Publisher Name</b>: ', pub_name, ' (id: ', publisher_id,
-                      ') <br> <b>Template Name</b>: ', template_name, ' (id: ', template_id,
+                      ') <br> <b>Template Name</b>: ', replace(replace(replace(replace(template_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), ' (id: ', template_id,
                       ') <br> <b>Decisions Yesterday</b>: ', d1, ' <br> <b>Decisions Same Day Last Week</b>: ', d8,
                       ' <br> <b>Total Decisions This Week</b>: ', w1, ' <br> <b>Total Decisions Last Week</b>: ', w2,
                       ' <br>') as body

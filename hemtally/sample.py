@@ -75,7 +75,7 @@ class Sample:
         return _copies(self.table("customer"), F.col("c_acctbal") >= 8000)
 
     def pairs(self) -> DataFrame:
-        seventh = F.col("o_orderkey") % 7
+        number = F.col("o_orderkey") % 80
         older = F.col("o_orderdate").cast("date") < F.lit(date(2001, 1, 1))
         return (
             self.table("orders")
@@ -83,9 +83,9 @@ class Sample:
             .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 F.md5("c_name").alias("hem"),
-                F.when(seventh == 0, "aaid")
-                .when(seventh == 1, "idfa")
-                .otherwise((F.lit(100) + seventh).cast("string"))
+                F.when(number == 0, "aaid")
+                .when(number == 1, "idfa")
+                .otherwise((F.lit(100) + number).cast("string"))
                 .alias("domain"),
                 F.when(F.col("n_regionkey") == 1, "US").otherwise("EU").alias("region"),
                 F.when(older, "20001231").otherwise("20010801").alias("date_p"),
@@ -186,7 +186,7 @@ class Sample:
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(
                 F.col("c_custkey").alias("template_id"),
-                F.col("c_name").alias("template_name"),
+                F.when(F.col("c_nationkey") % 2 == 0, F.concat("c_name", F.lit(' & <"x">'))).otherwise(F.col("c_name")).alias("template_name"),
                 F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit("@example.com ")).alias("email_address"),
                 F.col("c_mktsegment").alias("am_name"),
                 F.col("c_nationkey").alias("publisher_id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import __spark_entry__ as registered
 import pytest
 
@@ -23,7 +25,8 @@ def test_query_matches_duckdb(spark, duck, name):
 
 
 def test_every_answer_has_a_query_and_only_the_sketch_has_no_answer():
-    assert set(QUERIES) - set(ANSWERS) == {"pids_per_cluster_approx"}
+    own = {name for name in QUERIES if not re.match(r"op\d+_|pipeline$", name)}
+    assert own - set(ANSWERS) == {"pids_per_cluster_approx"}
     assert set(ANSWERS) <= set(QUERIES)
 
 

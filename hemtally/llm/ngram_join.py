@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, components, stored, text_hash
+from .shared import chunks, components, discard, stored, text_hash
 from .words import mix, shingle_sets
 
 #: Coordinates of a document's point.
@@ -127,35 +127,38 @@ class RTree:
                 yield self.order[a[i]], other.order[b[j]]
 
 
-def verified(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, similarity: Similarity, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of set identities that link: their sets are made again from one text each and intersected."""
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(nodes.select("sid", "rep"), "sid")
+def sets_of(documents: DataFrame, sids: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(sid, s): the sorted hashes of these sets, made again from one text each."""
+    chosen = sids.join(nodes.select("sid", "rep"), "sid").select(F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"), "sid")
     texts = documents.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    chosen = wanted.select(F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"), "sid")
     texts = texts.join(chosen, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("sid", "text")
 
     def make(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in chunks(frames, "text"):
             yield pd.DataFrame({"sid": rows["sid"], "s": [s.tobytes() for s in shingle_sets(rows["text"].tolist(), k)]})
 
-    sets = stored(texts.mapInPandas(make, "sid long, s binary"), "sets")
+    return stored(texts.mapInPandas(make, "sid long, s binary").dropDuplicates(["sid"]), "sets")
+
+
+def linked(x: bytes, y: bytes, similarity: Similarity) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[at] == x).sum())
+    return common * similarity.den >= similarity.num * (len(x) + len(y) - common)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
+    """The pairs (a, b) of set identities that link."""
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
     both = both.join(sets.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def check(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
-            keep = []
-            for x, y in zip(rows["sa"], rows["sb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                keep.append(common * similarity.den >= similarity.num * (len(x) + len(y) - common))
-            yield rows.loc[keep, ["a", "b"]]
+            yield rows.loc[[linked(x, y, similarity) for x, y in zip(rows["sa"], rows["sb"])], ["a", "b"]]
 
-    return stored(both.mapInPandas(check, "a long, b long").distinct(), "verified")
+    return stored(both.mapInPandas(check, "a long, b long"), "verified")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
@@ -173,32 +176,65 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: Similarity) -> Data
     return both.filter(near).select("a", "b", "pa", "pb").mapInPandas(check, "a long, b long")
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Buckets of at most BLOCK members in one task (key, i, j); a larger one is dealt into blocks, any two of which meet in a task."""
+    size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+
+
+def _met(rows: pd.DataFrame, similarity: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a task with different labels that the tree's bound leaves."""
+    points, label, own = np.frombuffer(b"".join(rows["point"]), "<u4").reshape(-1, COORDINATES), rows["label"].to_numpy(), rows["own"].to_numpy()
+    p, q = (np.flatnonzero(own == rows[c].iloc[0]) for c in ("i", "j"))
+    if len(p) and len(q):
+        tree = RTree(points[p])
+        for i, j in tree.pairs(tree if rows["i"].iloc[0] == rows["j"].iloc[0] else RTree(points[q]), similarity):
+            i, j = p[i], q[j]
+            ok = label[i] != label[j]
+            yield i[ok], j[ok]
+
+
+def _left_by_bound(members: DataFrame, similarity: Similarity) -> DataFrame:
+    """The members (key, sid, label, point) that the bound leaves a partner with another label in their bucket."""
+
+    def left(rows: pd.DataFrame) -> pd.DataFrame:
+        keep = np.zeros(len(rows), bool)
+        for i, j in _met(rows, similarity):
+            keep[i] = keep[j] = True
+        return rows.loc[keep, ["key", "sid"]]
+
+    found = _dealt(members).groupBy("key", "i", "j").applyInPandas(left, "key long, sid long").distinct()
+    return stored(members.join(found, ["key", "sid"], "left_semi"), "left-by-bound")
+
+
 def _across(members: DataFrame, similarity: Similarity) -> DataFrame:
-    """Pairs of members of a bucket with different labels that the bound leaves; `members`: (key, sid, label, point).
+    """Links between members of a bucket that have different labels; `members`: (key, sid, label, point, s).
 
-    A bucket beyond BLOCK members is dealt into blocks, and any two blocks meet in a task of their own.
+    Pairs that links found before in the same task connect are skipped: of each task's links a spanning forest is returned.
     """
-    size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "label", "point")
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        points = np.frombuffer(b"".join(rows["point"]), "<u4").reshape(-1, COORDINATES)
-        sid, label, own = rows["sid"].to_numpy(), rows["label"].to_numpy(), rows["own"].to_numpy()
-        left, right = own == rows["i"].iloc[0], own == rows["j"].iloc[0]
-        found = []
-        if left.any() and right.any():
-            p, q = np.flatnonzero(left), np.flatnonzero(right)
-            a_tree = RTree(points[p])
-            for i, j in a_tree.pairs(a_tree if left is right else RTree(points[q]), similarity):
-                i, j = p[i], q[j]
-                ok = label[i] != label[j]
-                found.append(np.stack([np.maximum(sid[i], sid[j])[ok], np.minimum(sid[i], sid[j])[ok]], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(join, "a long, b long").distinct()
+        sid, label, sets = rows["sid"].to_numpy(), rows["label"].to_numpy(), rows["s"].tolist()
+        above = {x: x for x in rows["label"].tolist()}
+
+        def root(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        found: list[tuple[int, int]] = []
+        for i, j in _met(rows, similarity):
+            for a, b in zip(i.tolist(), j.tolist()):
+                u, v = root(label[a]), root(label[b])
+                if u != v and linked(sets[a], sets[b], similarity):
+                    above[u] = v
+                    found.append((sid[a], sid[b]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return stored(_dealt(members).groupBy("key", "i", "j").applyInPandas(join, "a long, b long"), "across")
 
 
 def near_duplicates(
@@ -215,10 +251,11 @@ def near_duplicates(
     2. Nodes that share a key form a bucket. Every member is compared with the bucket's smallest member: by size and by the summed minima of
        their points, then exactly. These links make first components.
     3. Buckets whose members still lie in several components, each distinct set of members once, are joined inside by an R-tree over the
-       points; pairs within a component are skipped, what the bound leaves is verified exactly. The links of 2 and 3 make the components.
+       points; pairs within a component are skipped, what the bound leaves is verified exactly by the sets, which are made again for the members
+       that the bound leaves a partner, and travel with them. The links of 2 and 3 make the components.
 
     No pair of linked sets is lost: they share a bucket, and there either have one component or are compared. Nothing is capped; a group of
-    near copies costs its members once in 2, and pairs are made only across components in 3.
+    near copies costs its members once in 2, and 3 returns no more links than a task has members.
     """
     similarity = Similarity(num, den)
     described = stored(describe(documents, k, similarity, id_col, text_col), "described")
@@ -232,7 +269,11 @@ def near_duplicates(
     members = stored(dealt.join(stored(buckets.select("key", "low"), "buckets"), "key").distinct(), "members")
 
     tried = members.filter("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
-    links = verified(documents, _bounded(tried, nodes, similarity), nodes, k, similarity, id_col, text_col)
+    tried = stored(_bounded(tried, nodes, similarity), "pairs")
+    ends = tried.select(F.col("a").alias("sid")).union(tried.select("b")).distinct()
+    sets = sets_of(documents, ends, nodes, k, id_col, text_col)
+    links = verified(tried, sets, similarity)
+    discard(sets)
     label = components(links)
 
     labelled = members.select("key", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left")
@@ -243,8 +284,10 @@ def near_duplicates(
     )
     mixed = mixed.filter("l <> h").groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key")
     inside = labelled.join(stored(mixed, "mixed"), "key").join(nodes.select("sid", "point"), "sid").select("key", "sid", "label", "point")
-    more = _across(inside, similarity).join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(verified(documents, more, nodes, k, similarity, id_col, text_col))
+    inside = _left_by_bound(stored(inside, "inside"), similarity)
+    sets = sets_of(documents, inside.select("sid").distinct(), nodes, k, id_col, text_col)
+    links = links.unionByName(_across(inside.join(sets, "sid"), similarity))
+    discard(sets)
     label = components(links)
 
     reached = nodes.join(label.withColumnRenamed("node", "sid"), "sid").groupBy("label").agg(F.min("least").alias("component"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -163,6 +164,19 @@ def _hash_match_counts_incremental(spark: SparkSession, sf_dir: str) -> DataFram
     return _from_daily_counts(spark, sf_dir, ("md5",), ops.audience.MAX_DAYS, ops.hash_match_counts)
 
 
+def _hash_match_counts_redone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored day computed again after its impressions turned out to be of nobody on the list."""
+    sample = Sample(spark, sf_dir)
+    members, store, keys = ops.audience_members(sample.emails()), shared_path(spark, "daily-counts"), ("md5",)
+    (day,) = days_before(IMPRESSION_RUN, 1, 1)
+    before = flat_impressions(sample.impressions())
+    nobody = F.when(F.col("date_p") == F.lit(day), F.concat("md5", F.lit("x"))).otherwise(F.col("md5"))
+    after = before.withColumn("md5", nobody)
+    plans.refresh_daily_counts(before, members, store, IMPRESSION_RUN, keys, skip_dates=SKIPPED)
+    plans.refresh_daily_counts(after, members, store, IMPRESSION_RUN, keys, skip_dates=SKIPPED, redo=[day])
+    return ops.hash_match_counts(plans.read_daily_counts(after, store, IMPRESSION_RUN, keys, skip_dates=SKIPPED))
+
+
 def _user_agent_counts_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_daily_counts(spark, sf_dir, USER_AGENT, ops.audience.DETAIL_DAYS, ops.user_agent_counts)
 
@@ -197,6 +211,26 @@ def _snapshot_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def _snapshot_load_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants loaded by their days: a day loaded twice, then a load of another day without rows for it."""
+    events, target = Sample(spark, sf_dir).table("events"), shared_path(spark, "snapshots")
+    load_snapshot(events.select(F.col("event_type").alias("kind"), F.col("user_id").alias("user"), F.col("ts").alias("event_date")), target, ACTIVITY_RUN)
+    for kind, instant in (("early", "2024-01-30 05:00:00"), ("late", "2024-01-30 06:00:00"), ("other", "2024-01-29 07:00:00")):
+        at = F.lit(instant).cast(events.schema["ts"].dataType)
+        load_snapshot(events.select(F.lit(kind).alias("kind"), F.col("user_id").alias("user"), at.alias("event_date")), target, ACTIVITY_RUN)
+    loaded = spark.read.parquet(target)
+    instant = F.date_format("event_date_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("instant")
+    return loaded.select("kind", "user", instant, "event_date")
+
+
+def _match_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of match flags, read back."""
+    sample = Sample(spark, sf_dir)
+    folder = shared_path(spark, "match-file")
+    path = plans.write_match_file(sample.client_md5(), sample.graph(), sample.pairs(), folder, "20240130", "20010801")
+    return spark.read.schema("hem string, has_linked boolean, has_maid boolean").csv(path)
+
+
 def _period_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.period_activity(Sample(spark, sf_dir).activity(), ACTIVITY_RUN)
 
@@ -234,12 +268,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hash_match_counts": _hash_match_counts,
         "hash_match_counts_180": _hash_match_counts_180,
         "hash_match_counts_incremental": _hash_match_counts_incremental,
+        "hash_match_counts_redone": _hash_match_counts_redone,
         "user_agent_counts": _user_agent_counts,
         "user_agent_counts_incremental": _user_agent_counts_incremental,
         "category_counts": _category_counts,
         "category_counts_incremental": _category_counts_incremental,
         "date_coverage": _date_coverage,
         "snapshot_load": _snapshot_load,
+        "snapshot_load_timestamps": _snapshot_load_timestamps,
+        "match_file": _match_file,
         "period_activity": _period_activity,
         "alert_rows": _alert_rows,
     }
@@ -436,7 +473,9 @@ def _counts_within(windows: tuple[int, ...]) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """The SQL that answers a query, where SQL can express it."""
-    return _own_answers() | (llm.oracle_sql() if llm else {})
+    own = _own_answers()
+    own["match_file"] = own["match_flags"]
+    return own | (llm.oracle_sql() if llm else {})
 
 
 def _own_answers() -> dict[str, str]:
@@ -514,6 +553,7 @@ def _own_answers() -> dict[str, str]:
         "hash_match_counts": counts,
         "hash_match_counts_180": _with("recent", _counts_within((30, 60, 90, 180))),
         "hash_match_counts_incremental": counts,
+        "hash_match_counts_redone": counts.replace("and date '2001-08-01'", "and date '2001-07-31'"),
         "user_agent_counts": agents,
         "user_agent_counts_incremental": agents,
         "category_counts": categories,
@@ -526,6 +566,10 @@ def _own_answers() -> dict[str, str]:
         from (select date_diff('day', date_p, date '2001-08-02') as since from impressions)
         where since between 1 and 181 group by 1""",
         ),
+        "snapshot_load_timestamps": """
+        select distinct event_type as kind, user_id as "user", strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as instant, cast(ts as date) as event_date
+        from events where cast(ts as date) not in (date '2024-01-29', date '2024-01-30')
+        union all select distinct 'other', user_id, '2024-01-29 07:00:00.000000', date '2024-01-29' from events""",
         "snapshot_load": _with(
             "target",
             """

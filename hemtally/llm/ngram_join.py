@@ -299,7 +299,8 @@ def near_duplicates(
 
 
 def keep_one(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `documents` that have the smallest id of their component, once; rows with a null id only where no link reaches an id."""
+    """The rows of `documents` whose id is their component's, repeated rows once; rows with a null id cannot be told apart and stay."""
     groups = near_duplicates(documents, k, num, den, id_col, text_col)
     kept = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return documents.join(kept, documents[id_col] == F.col("_kept"), "left_semi").unionByName(documents.filter(F.col(id_col).isNull()))
+    first = documents.join(kept, documents[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col, text_col])
+    return first.unionByName(documents.filter(F.col(id_col).isNull()))

@@ -16,7 +16,7 @@ from .shared import chunks
 #: Fixed values of the base scan: phrases and their labels.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-#: Licenses by hand: label, keyword that a text must hold, name, identifiers, versions (each with its pattern), web address.
+#: Licenses by hand: label, keyword that every form of the name holds, name, identifiers, versions (each with its pattern), web address.
 _V = r"[ ,]*(?:\(?(?:the )?(?:version|ver\.?|v\.?) ?)?"
 FAMILIES: list[tuple[str, str, str, str, tuple[str, ...], str]] = [
     ("apache", "apache", r"apache(?: software)? licen[cs]e", r"apache", ("2.0", "1.1", "1.0"), r"apache\.org/licenses"),
@@ -39,10 +39,10 @@ FAMILIES: list[tuple[str, str, str, str, tuple[str, ...], str]] = [
     ("psf", "python software", r"python software foundation licen[cs]e", r"psf", ("2.0",), r"python\.org/psf/license"),
     ("bsl", "boost", r"boost software licen[cs]e", r"bsl", ("1.0",), r"boost\.org/license"),
     ("cecill", "cecill", r"cecill(?: free software)? licen[cs]e", r"cecill", ("2.1", "2.0", "1.0"), r"cecill\.info/licen[cs]es"),
-    ("mit", "mit", r"mit licen[cs]e", r"mit", (), r"opensource\.org/licenses/mit"),
-    ("isc", "isc", r"isc licen[cs]e", r"isc", (), r"opensource\.org/licenses/isc"),
+    ("mit", "mit licen", r"mit licen[cs]e", r"mit", (), r"opensource\.org/licenses/mit"),
+    ("isc", "isc licen", r"isc licen[cs]e", r"isc", (), r"opensource\.org/licenses/isc"),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[cs]e", r"zlib", (), r"zlib\.net/zlib_license"),
-    ("unlicense", "unlicense", r"the unlicen[cs]e", r"unlicense", (), r"unlicense\.org"),
+    ("unlicense", "the unlicen", r"the unlicen[cs]e", r"unlicense", (), r"unlicense\.org"),
     ("wtfpl", "wtfpl", r"wtfpl(?: licen[cs]e)?", r"wtfpl", (), r"wtfpl\.net"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2[- ]clause|freebsd) licen[cs]e", r"bsd-2-clause", (), r"opensource\.org/licenses/bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3[- ]clause) licen[cs]e", r"bsd-3-clause", (), r"opensource\.org/licenses/bsd-3-clause"),
@@ -60,7 +60,8 @@ CREATIVE_COMMONS = [
     ("cc-by", r"attribution", "by"),
 ]
 CC_VERSIONS = ("4.0", "3.0", "2.5", "2.0", "1.0")
-#: Phrases of license texts themselves: label, keyword, pattern.
+#: Phrases of license texts themselves: label, keyword, pattern. Every match holds its keyword, but for one of Apache's: other licenses use that
+#: sentence too, so the text must name Apache besides.
 TEXTS = [
     ("mit", "permission is hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("isc", "permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee"),
@@ -76,25 +77,27 @@ TEXTS = [
     ("public-domain", "public domain", r"(?:released|placed|dedicated)(?: in)?to the public domain|(?:is|are) in the public domain"),
     ("proprietary", "all rights reserved", r"all rights reserved"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
-    ("unknown-license", "license", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?\w[\w.+-]{0,30}(?: \w[\w.+-]{0,30}){0,3} licen[cs]e"),
+    ("unknown-license", "licen", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?\w[\w.+-]{0,30}(?: \w[\w.+-]{0,30}){0,3} licen[cs]e"),
 ]
-#: A text without any of these holds nothing that a rule could find.
-STEMS = ("licen", "public domain", "all rights", "redistribut", "permission", "gpl", "spdx", "creative", "cc by", "cc-by", "cc0", "as-is", "unencumbered", "advertising mat", "confidential", "neither the name", "you can redis", ".org/", "wtfpl")
 
 
 @cache
-def rules() -> list[tuple[int, str, str, re.Pattern, float]]:
-    """(priority, label, keyword, pattern, weight), the most telling first: identifiers, web addresses, versioned names, names, texts."""
+def rules() -> list[tuple[int, str, tuple[str, ...], re.Pattern, float]]:
+    """(priority, label, keywords, pattern, weight), the most telling first: identifiers, web addresses, versioned names, names, texts.
+
+    What a pattern matches holds one of its keywords (divided by |), so a text without them need not be searched.
+    """
     found: list[tuple[str, str, str, float, int]] = []
     for label, keyword, name, short, versions, address in FAMILIES:
+        site = re.split(r"[(\[]", address)[0].replace("\\", "")
         for v in versions:
             number = re.escape(v).replace(r"\.0", r"(?:\.0)?")
-            found.append((f"{label}-{v}", short, rf"spdx-license-identifier: ?{short}-{number}(?:-only|-or-later|\+)?(?![\w.])", 1.0, 0))
-            found.append((f"{label}-{v}", label, rf"\b{short}[- ]?v?{number}\b(?!\.\d)", 0.8, 2))
-            found.append((f"{label}-{v}", address.split("\\")[0], rf"{address}[-/]?{number}\b", 0.95, 1))
+            found.append((f"{label}-{v}", "spdx", rf"spdx-license-identifier: ?{short}-{number}(?:-only|-or-later|\+)?(?![\w.])", 1.0, 0))
+            found.append((f"{label}-{v}", short, rf"\b{short}[- ]?v?{number}\b(?!\.\d)", 0.8, 2))
+            found.append((f"{label}-{v}", site, rf"{address}[-/]?{number}\b", 0.95, 1))
             found.append((f"{label}-{v}", keyword, rf"\b{name}{_V}{number}\b(?!\.\d)", 0.95, 2))
         found.append((label, "spdx", rf"spdx-license-identifier: ?{short}(?![\w.-])", 1.0, 0))
-        found.append((label, address.split("\\")[0], address, 0.9, 1))
+        found.append((label, site, address, 0.9, 1))
         found.append((label, keyword, rf"\b(?:licensed|released|distributed) under (?:the )?(?:terms of the )?{name}", 0.9, 3))
         found.append((label, keyword, rf"\b{name}", 0.7, 4))
     for label, words, short in CREATIVE_COMMONS:
@@ -103,28 +106,26 @@ def rules() -> list[tuple[int, str, str, re.Pattern, float]]:
             number = re.escape(v)
             found.append((f"{label}-{v}", "spdx", rf"spdx-license-identifier: ?cc-{short}-{number}", 1.0, 0))
             found.append((f"{label}-{v}", "creativecommons", rf"creativecommons\.org/licenses/{short}/{number}", 0.95, 1))
-            found.append((f"{label}-{v}", "cc", rf"\bcc[- ]{dashed}[- ]{number}", 0.95, 2))
+            found.append((f"{label}-{v}", "cc by|cc-by", rf"\bcc[- ]{dashed}[- ]{number}", 0.95, 2))
             found.append((f"{label}-{v}", "creative commons", rf"\bcreative commons {words} {number}", 0.95, 2))
-        found.append((label, "cc", rf"\bcc[- ]{dashed}\b(?![- ](?:nc|nd|sa)\b)", 0.8, 4))
+        found.append((label, "cc by|cc-by", rf"\bcc[- ]{dashed}\b(?![- ](?:nc|nd|sa)\b)", 0.8, 4))
         found.append((label, "creative commons", rf"\bcreative commons {words}", 0.8, 4))
     found += [(label, keyword, pattern, 0.6 if label != "unknown-license" else 0.3, 6 if label == "unknown-license" else 5) for label, keyword, pattern in TEXTS]
-    return [(p, label, k.replace("\\", ""), re.compile(pattern, re.S), w) for label, k, pattern, w, p in sorted(found, key=lambda x: x[4])]
+    return [(p, label, tuple(k.split("|")), re.compile(pattern, re.S), w) for label, k, pattern, w, p in sorted(found, key=lambda x: x[4])]
 
 
 def detections(lower: str) -> list[tuple[int, int, str, float]]:
     """(start, end, label, weight) of the detections that stand, by start.
 
-    Rules run in their order, each only if its keyword occurs. Taken by priority, then longer first, then earlier: a detection falls that
+    Rules run in their order, each only if one of its keywords occurs. Taken by priority, then longer first, then earlier: a detection falls that
     lies inside one that stands, or overlaps one of a better priority.
     """
-    if not any(s in lower for s in STEMS):
-        return []
-    here: dict[str, bool] = {}
+    here: dict[tuple[str, ...], bool] = {}
     found = []
-    for order, (priority, label, keyword, pattern, weight) in enumerate(rules()):
-        if keyword not in here:
-            here[keyword] = keyword in lower
-        if here[keyword]:
+    for order, (priority, label, keywords, pattern, weight) in enumerate(rules()):
+        if keywords not in here:
+            here[keywords] = any(k in lower for k in keywords)
+        if here[keywords]:
             found += [(priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in pattern.finditer(lower)]
     stands: list[tuple[int, int, int, str, float]] = []
     for priority, _, start, _, end, label, weight in sorted(found):

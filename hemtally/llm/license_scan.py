@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -80,6 +81,11 @@ TEXTS = [
     ("unknown-license", "licen", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?\w[\w.+-]{0,30}(?: \w[\w.+-]{0,30}){0,3} licen[cs]e"),
 ]
 
+#: White space that is not a single space: over line ends with the comment marks behind them, or within a line.
+_GAP = re.compile(r"[^\S\n]*+\n\s*+(?:(?:(?:[#*;%>|!]+|//+!?|/\*+|--+|\.\.)(?:\s++|(?=\w))|(?:dnl|rem)\b\s++))*+|\s\s++|[^\S ]")
+#: The number of a list's item, and what may stand before a version.
+_ITEM, _VERSION = re.compile(r"\d+[.)](?!\d)"), re.compile(r"\b(?:version|ver\.?|v\.?)$")
+
 
 @cache
 def rules() -> list[tuple[int, str, tuple[str, ...], re.Pattern, float]]:
@@ -106,33 +112,57 @@ def rules() -> list[tuple[int, str, tuple[str, ...], re.Pattern, float]]:
             number = re.escape(v)
             found.append((f"{label}-{v}", "spdx", rf"spdx-license-identifier: ?cc-{short}-{number}", 1.0, 0))
             found.append((f"{label}-{v}", "creativecommons", rf"creativecommons\.org/licenses/{short}/{number}", 0.95, 1))
-            found.append((f"{label}-{v}", "cc by|cc-by", rf"\bcc[- ]{dashed}[- ]{number}", 0.95, 2))
+            found.append((f"{label}-{v}", "cc by|cc-by|cc- by", rf"\bcc[- ]{dashed}[- ]{number}", 0.95, 2))
             found.append((f"{label}-{v}", "creative commons", rf"\bcreative commons {words} {number}", 0.95, 2))
-        found.append((label, "cc by|cc-by", rf"\bcc[- ]{dashed}\b(?![- ](?:nc|nd|sa)\b)", 0.8, 4))
+        found.append((label, "cc by|cc-by|cc- by", rf"\bcc[- ]{dashed}\b(?![- ](?:nc|nd|sa)\b)", 0.8, 4))
         found.append((label, "creative commons", rf"\bcreative commons {words}", 0.8, 4))
     found += [(label, keyword, pattern, 0.6 if label != "unknown-license" else 0.3, 6 if label == "unknown-license" else 5) for label, keyword, pattern in TEXTS]
-    return [(p, label, tuple(k.split("|")), re.compile(pattern, re.S), w) for label, k, pattern, w, p in sorted(found, key=lambda x: x[4])]
+    # a line may end behind a hyphen
+    return [(p, label, tuple(k.split("|")), re.compile(pattern.replace("[- ]", "(?:- ?| )"), re.S), w) for label, k, pattern, w, p in sorted(found, key=lambda x: x[4])]
+
+
+def flat(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with each run of white space, comment marks at line starts included, as one space; where these stand, and where their runs end in `text`.
+
+    Ahead of a numbered item of a list a line end stands for the run, as the number is no version then. Single spaces stay and are not listed.
+    """
+    parts, at, ends, done, length = [], [], [], 0, 0
+    for m in _GAP.finditer(text):
+        begin, end = m.span()
+        listed = "\n" in m.group() and _ITEM.match(text, end) and not _VERSION.search(text[max(begin - 9, 0) : begin])
+        parts += (text[done:begin], "\n" if listed else " ")
+        length += begin - done + 1
+        at.append(length - 1)
+        ends.append(end)
+        done = end
+    return "".join(parts) + text[done:], at, ends
 
 
 def detections(lower: str) -> list[tuple[int, int, str, float]]:
     """(start, end, label, weight) of the detections that stand, by start.
 
-    Rules run in their order, each only if one of its keywords occurs. Taken by priority, then longer first, then earlier: a detection falls that
-    lies inside one that stands, or overlaps one of a better priority.
+    Rules run in their order on the flat text, each only if one of its keywords occurs. Taken by priority, then longer first, then earlier: a
+    detection falls that lies inside one that stands, or overlaps one of a better priority.
     """
+    text, at, ends = flat(lower)
     here: dict[tuple[str, ...], bool] = {}
     found = []
     for order, (priority, label, keywords, pattern, weight) in enumerate(rules()):
         if keywords not in here:
-            here[keywords] = any(k in lower for k in keywords)
+            here[keywords] = any(k in text for k in keywords)
         if here[keywords]:
-            found += [(priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in pattern.finditer(lower)]
+            found += [(priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in pattern.finditer(text)]
     stands: list[tuple[int, int, int, str, float]] = []
     for priority, _, start, _, end, label, weight in sorted(found):
         clash = any((s <= start and end <= e) or (start < e and s < end and p < priority) for s, e, p, _, _ in stands)
         if not clash:
             stands.append((start, end, priority, label, weight))
-    return [(s, e, label, w) for s, e, _, label, w in sorted(stands)]
+
+    def place(i: int) -> int:
+        gaps = bisect_left(at, i)
+        return i if not gaps else ends[gaps - 1] + i - at[gaps - 1] - 1
+
+    return [(place(s), place(e - 1) + 1, label, w) for s, e, _, label, w in sorted(stands)]
 
 
 _WORD_BYTE = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
@@ -145,7 +175,7 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A-Z is lower-cased; words are runs of digits, a-z and characters beyond ASCII. The base places are those where a phrase's words stand one
     after another, first_word and last_word the smallest and largest number of a place's first word (null without any). The rules add
-    labels; both are distinct, sorted and comma-joined, and empty without any. score: 1 less the product of what each
+    labels, across line ends and comment marks too; both are distinct, sorted and comma-joined, and empty without any. score: 1 less the product of what each
     standing detection leaves open, at least 0.7 for a base place. A null text counts as empty. One row per row; nothing is shuffled.
     """
 

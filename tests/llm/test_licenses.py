@@ -73,3 +73,39 @@ def test_a_sentence_of_several_licenses_needs_the_name():
     sentence = "you may not use this file except in compliance with the license"
     assert license_scan.detections(sentence) == []
     assert [x[2] for x in license_scan.detections(f"apache: {sentence}")] == ["apache"]
+
+
+WRAPPED = [
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted", ["bsd"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", ["isc"]),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. In no event", ["zlib"]),
+    ("Neither the name of the copyright holder nor the names of its\n   contributors may be used", ["bsd-3-clause"]),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", ["mit"]),
+    ("Permission is hereby granted, free of charge, to any person\nobtaining a copy", ["mit"]),
+    ("                                 Apache License\n                           Version 2.0, January 2004", ["apache-2.0"]),
+    ("GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", ["gpl-3.0"]),
+    ("Mozilla\tPublic  License,\r\nversion\xa02.0", ["mpl-2.0"]),
+    ("the GNU General Public License as published, version\n2. It", ["gpl"]),
+    ("GNU General Public License version\n2. It", ["gpl-2.0"]),
+    ("Creative Commons Attribution-\nShareAlike 4.0", ["cc-by-sa-4.0"]),
+]
+
+
+def commented(text, mark):
+    return "".join(mark + line for line in text.splitlines(keepends=True))
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "dnl ", "> > ", "#"])
+@pytest.mark.parametrize("text, labels", WRAPPED)
+def test_wrapped_texts_have_their_labels_and_places(text, labels, mark):
+    text = "\U0001f600\n\n\tx  y\n" + commented(text, mark) + "\n\nend"
+    got = license_scan.detections(text.lower())
+    assert [x[2] for x in got] == labels
+    for start, end, _, _ in got:
+        alone = license_scan.detections(text[start:end].lower())
+        assert alone and (alone[0][0], alone[-1][1]) == (0, end - start)
+
+
+def test_a_list_after_a_name_gives_no_version():
+    for text in ("Apache License\n\n   1. Definitions.\n2. Grant", "under the GPL\n 3) more", "# EPL\n# 2. more"):
+        assert all("-" not in x[2] for x in license_scan.detections(text.lower()))

@@ -3,13 +3,15 @@
 The vocabulary's pre-tokenizer never joins a visible character with a space, tab or newline that follows it, so a text's ids are
 the ids of its pieces (white space, then visible characters) one after another. Pieces are found, hashed and looked up
 with numpy for a whole batch of texts; only pieces not met before reach the encoder. Texts that hold unusual white space or
-control characters are encoded whole. The ids are those of `tokenizers` on the .json file; where its .tiktoken twin (the same
+control characters are encoded whole. Texts that hold one of the .json file's added tokens (such as <|endoftext|>) are cut there: with
+`added` those get their own ids, as by default in `tokenizers`, else they are spelled out. The ids are those of `tokenizers` on the .json file; where its .tiktoken twin (the same
 vocabulary as ranks) is given, that library computes them, which is faster; a test holds both against each other.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import numpy as np
@@ -29,9 +31,17 @@ MOST_KEPT = 2_000_000
 
 
 class Encoder:
-    """`json_path`: for tokenizers; `ranks_path` and `pattern`: the same vocabulary for tiktoken, or None."""
-
-    def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
+    """`json_path`: for tokenizers; `ranks_path` and `pattern`: the same vocabulary for tiktoken, or None; `added`: whether added tokens count."""
+
+    def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None, added: bool = False):
+        self._added: dict[str, int] = {}
+        if added:
+            with open(json_path, encoding="utf-8") as f:
+                tokens = json.load(f).get("added_tokens") or []
+            if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in tokens):
+                raise ValueError(f"added tokens of {json_path} take part of the text around them")
+            self._added = {x["content"]: x["id"] for x in tokens}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if self._added else None
         if ranks_path:
             import tiktoken
 
@@ -48,9 +58,11 @@ class Encoder:
             self._list = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
             width_of = {i: len(piece) for piece, i in tokenizer.get_vocab().items()}  # one character stands for one byte
         #: Bytes that each id stands for.
-        self.widths = np.zeros(max(width_of) + 1, np.int64)
+        self.widths = np.zeros(max(*width_of, *self._added.values()) + 1, np.int64)
         for i, n in width_of.items():
             self.widths[i] = n
+        for token, i in self._added.items():
+            self.widths[i] = len(token.encode())
         self._forget()
 
     def _forget(self) -> None:
@@ -89,6 +101,16 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; of None, none."""
+        if self._cut is None or not any(t and self._cut.search(t) for t in texts):
+            return self._batch(texts)
+        parts = [self._cut.split(t) if t else [t] for t in texts]  # every second one is an added token
+        ids = iter(self._batch([p for some in parts for p in some[::2]]))
+        out = []
+        for some in parts:
+            out.append(np.concatenate([np.array([self._added[p]], np.uint32) if i % 2 else next(ids) for i, p in enumerate(some)]))
+        return out
+
+    def _batch(self, texts: list[str | None]) -> list[np.ndarray]:
         plain = [bool(t) and not _UNUSUAL.search(t) for t in texts]
         parts = [t.encode() for t, p in zip(texts, plain) if p]
         out = [np.empty(0, np.uint32) if p or not t else self._encode(t.encode("utf-8", "replace").decode()) for t, p in zip(texts, plain)]
@@ -126,15 +148,16 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(vocabulary: str | None = None) -> Encoder:
+def encoder(vocabulary: str | None = None, added: bool = False) -> Encoder:
     """The worker's encoder; without a path, the public 50k byte-level BPE of the worker's own installation."""
-    if vocabulary not in _encoders:
+    key = vocabulary, added
+    if key not in _encoders:
         if vocabulary is None:
             import public_tokenizers as public
 
-            _encoders[vocabulary] = Encoder(
-                public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+            _encoders[key] = Encoder(
+                public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN, added
             )
         else:
-            _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+            _encoders[key] = Encoder(vocabulary, added=added)
+    return _encoders[key]

@@ -27,7 +27,7 @@ def token_pieces(
     """
 
     def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = encoder(vocabulary)
+        code = encoder(vocabulary, added=True)
         for rows in chunks(frames, "text"):
             owners, pieces, starts, lengths, sums = [], [], [], [], []
             for i, ids in enumerate(code.batch(rows["text"].tolist())):

@@ -40,7 +40,7 @@ def section_tokens(
     key = ord(separator)
 
     def attribute(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = encoder(vocabulary)
+        code = encoder(vocabulary, added=True)
         for rows in chunks(frames, "text"):
             texts = rows["text"].tolist()
             columns: list[list[np.ndarray]] = [[] for _ in range(7)]

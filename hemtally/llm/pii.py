@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +21,22 @@ _PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Words that hold a digit or an @.
-_CANDIDATE = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+"
+#: Runs of two or more digit groups with their separators on one line; else words that hold a digit or an @.
+_BLANK = r"[ \t\u00A0]{1,3}+"
+_GROUP, _TAIL = r"[(\[]*+[0-9][0-9()\[\]./-]*+", r"[\"'`)\]}>.,;:!?*]*+"
+_RUN_OF_GROUPS = rf"[\"'`<{{(\[]*+\+?+{_GROUP}(?:{_BLANK}(?:[-./\u2013]{_BLANK})?+{_GROUP}(?={_TAIL}(?:\s|$)))++{_TAIL}"
+_CANDIDATE = rf"(?:\G|(?<!\S))(?:{_RUN_OF_GROUPS}|[^\s0-9@]*+[0-9@]\S*+)"
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: What a word must look like to be taken for a kind in a trusted context.
 _SHAPES = {
     "email": "[A-Za-z0-9]@[A-Za-z0-9]",
     "ip": r"^[0-9A-Fa-f]{1,4}(?:[.:]{1,2}[0-9A-Fa-f]{1,4}){3,7}+$",
-    "card": "^[0-9][0-9-]{10,30}$",
-    "phone": r"^[+(]?[0-9][0-9().-]{6,20}$",
+    "card": r"^(?:[0-9][0-9-]{10,30}|[0-9](?:[\s.\u2013-]{0,7}[0-9]){11,18})$",
+    "phone": r"^(?:[+(]?[0-9][0-9().-]{6,20}|\+?[(\[]*[0-9](?:[\s()\[\]./\u2013-]{0,9}[0-9]){6,14})$",
 }
 _EDGES = "\"'`()[]{}<>.,;:!?*#$%&|="
+#: What is cut off before a value: all edges, but not the bracket of an area code.
+_LEAD = r"^(?:(?!\([0-9]++\)\s*+[0-9])[\"'`()\[\]{}<>.,;:!?*#$%&|=])*+"
 _RUN = 512
 ROUNDS, LEAST_SEEDS, TRUST, PRIOR = 3, 3, 0.7, 2.0
 
@@ -92,27 +100,51 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(documents: DataFrame) -> DataFrame:
-    """Adds `seen`: words that hold a digit or @, by their trimmed places, with the words around them and the kind of a base span there."""
+    """Adds `seen`: runs of digit groups and words that hold a digit or @, by their trimmed places, with the words around and the kind of a base span there.
+
+    Contexts are whole words outside the run; another candidate among them is #, and ^ and $ stand for the text's ends. Words of a run are
+    candidates too where they look like a kind that the run does not, with the run's contexts.
+    """
     text = F.col("text")
     matched = documents.withColumn("m", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_CANDIDATE), F.lit(0))))
     matched = matched.withColumn("p", F.when(F.col("m").isNotNull(), F.split(text, _CANDIDATE, -1)))
     matched = matched.withColumn("w", F.when(F.col("m").isNotNull(), _spans(text, F.col("m"), F.col("p"))))
 
-    def describe(s: Column, i: Column) -> Column:
-        left = F.concat(F.when(i > 0, " # ").otherwise(" ^ "), F.get("p", i))
-        left = F.regexp_extract(F.lower(F.right(left, F.lit(60))), r"(\S+\s+\S+)\s*$", 1)
-        right = F.regexp_extract(F.lower(F.left(F.get("p", i + 1), F.lit(40))), r"^\s*(\S+)", 1)
-        value = F.rtrim(F.ltrim(s["value"], F.lit(_EDGES)), F.lit(_EDGES))
-        start = s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"], F.lit(_EDGES)))
-        end = start + F.length(value)
-        under = F.filter("base", lambda b: (b["start"] < end) & (b["end"] > start))
-        return F.struct(
-            start.alias("start"), end.alias("end"), value.alias("value"), F.get(under, F.lit(0))["kind"].alias("seed"),
-            F.array(F.xxhash64(F.lit("before"), left), F.xxhash64(F.lit("around"), F.regexp_extract(left, r"(\S+)$", 1), right)).alias("patterns"),
-        )
+    def trimmed(start: Column, value: Column) -> Column:
+        lead = F.length(F.regexp_extract(value, _LEAD, 0))
+        return F.struct((start + lead).alias("start"), F.rtrim(F.substring(value, lead + 1, F.length(value)), F.lit(_EDGES)).alias("value"))
+
+    def described(t: Column, patterns: Column) -> Column:
+        end = t["start"] + F.length(t["value"])
+        under = F.filter("base", lambda b: (b["start"] < end) & (b["end"] > t["start"]))
+        seed = F.get(under, F.lit(0))["kind"]
+        return F.struct(t["start"].alias("start"), end.alias("end"), t["value"].alias("value"), seed.alias("seed"), patterns.alias("patterns"))
+
+    def contexts(i: Column) -> Column:
+        before = F.when(i > 1, " # ").otherwise(" ^ ")
+        left = F.concat(before, F.when(i > 0, F.concat(F.get("p", i - 1), F.lit(" # "))).otherwise(" ^ "), F.get("p", i))
+        left = F.regexp_extract(F.reverse(F.lower(left)), r"^\s*+(\S++\s++\S++)", 1)  # read backwards
+        right = F.concat(F.lower(F.get("p", i + 1)), F.when(i + 1 < F.size("w"), " #").otherwise(" $"))
+        right = F.regexp_extract(right, r"^\s*+(\S++)", 1)
+        return F.array(F.xxhash64(F.lit("before"), left), F.xxhash64(F.lit("around"), F.regexp_extract(left, r"^(\S++)", 1), right))
+
+    looks = [lambda value, k=k: value.rlike(_SHAPES[k]) for k in KINDS]
+
+    def words(run: Column) -> Column:
+        value, own = run["value"], run["looks"]
+        parts = _spans(value, F.regexp_extract_all(value, F.lit(r"\S++"), F.lit(0)), F.split(value, r"\S++", -1))
+        parts = F.transform(parts, lambda x: trimmed(run["start"] + x["start"], x["value"]))
+        fits = F.filter(parts, lambda x: reduce(or_, [f(x["value"]) & ~F.get(own, F.lit(k)) for k, f in enumerate(looks)]))
+        inner = F.filter(F.transform(fits, lambda x: described(x, run["patterns"])), lambda x: x["seed"].isNull())
+        whole = F.array(described(run, run["patterns"]))
+        return F.when(value.rlike(r"\s"), F.concat(whole, inner)).otherwise(whole)
+
+    def run(t: Column, i: Column) -> Column:
+        return F.struct(t["start"].alias("start"), t["value"].alias("value"), F.array(*[f(t["value"]) for f in looks]).alias("looks"), contexts(i).alias("patterns"))
 
-    seen = F.filter(F.transform("w", describe), lambda s: F.length(s["value"]) > 0)
-    return matched.withColumn("seen", seen).drop("m", "p", "w")
+    runs = F.transform(F.transform("w", lambda s: trimmed(s["start"], s["value"])), run)
+    matched = matched.withColumn("runs", F.filter(runs, lambda s: F.length(s["value"]) > 0))
+    return matched.withColumn("seen", F.flatten(F.transform("runs", words))).drop("m", "p", "w", "runs")
 
 
 def trusted_patterns(
@@ -120,7 +152,7 @@ def trusted_patterns(
 ) -> DataFrame:
     """(pattern, kind, confidence) of the patterns that are trusted; `mentions`: (pattern, value, seed).
 
-    A pattern is a context; an instance is a word seen in it. Seeds (words inside base spans) have confidence 1 for their kind, others that look
+    A pattern is a context; an instance is a word or run seen in it. Seeds (those that touch base spans) have confidence 1 for their kind, others that look
     like a kind start at 0. In each round a pattern's confidence for a kind is the sum of its instances' over their number and `prior`;
     an unlabelled instance takes the mean of its patterns'. Only patterns with `least_seeds` different seeds of a kind stay in the graph.
     """
@@ -154,7 +186,7 @@ def personal_data(
     """Per document (id, base, found): arrays of (start, kind, end) by start, in code points, `kind` an index of KINDS.
 
     `base` has the matches of the base patterns. Their contexts (the two words before; the word before with the word behind) are patterns; in those
-    that `trusted_patterns` trusts, words that look like the kind and touch no base span are `found`. A null text counts as empty. Rows
+    that `trusted_patterns` trusts, words and runs of digit groups that look like the kind and touch no base span are `found`. A null text counts as empty. Rows
     with equal id and text have equal results, one output row per input row.
 
     The texts are read once and not shuffled; what is shuffled are words with digits and their contexts, combined per context and word

@@ -11,7 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curves, decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality, token_counts, url_filter
+from . import (
+    curves, decontaminate, filter_audit, license_scan, line_dedup, ngram_join, packing, pii, quality, sql, substrings, token_counts, url_filter,
+    vector_codes,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,15 +104,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 13-word windows that start in a document with a smaller id too."""
+    done = substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does at each step of all their orders, by source."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of eight parts for all vectors, by codebooks of 16 entries after six rounds."""
+    done = vector_codes.encode_vectors(_table(spark, sf_dir, "embeddings"))
+    return done.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.sha2("codebooks", 256).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: shipped(f)
         for f in (
             op1_url_filter, op2_token_counts, op3_line_dedup, op4_ngram_join, op5_pii, op6_quality, op7_license_scan, op8_nearest,
-            op9_best_fit_packing, op10_decontamination,
+            op9_best_fit_packing, op10_decontamination, op11_substring_dedup, op12_filter_audit, op13_vector_codes,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_substring_dedup": sql.SUBSTRING_DEDUP, "op12_filter_audit": sql.FILTER_AUDIT, "op13_vector_codes": sql.vector_codes()}

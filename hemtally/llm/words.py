@@ -44,9 +44,11 @@ def hashes_between(data: bytes | np.ndarray, starts: np.ndarray, ends: np.ndarra
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A-Z lower-cased, and where each text's words begin (one more than texts)."""
-    parts = [b"" if t is None else t.encode("utf-8", "surrogatepass").lower() for t in texts]
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, with `lower` A-Z lower-cased, and where each text's words begin (one more than texts)."""
+    parts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    if lower:
+        parts = [p.lower() for p in parts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     ends_of = np.cumsum([len(p) + 1 for p in parts])
     space = _IS_SPACE[data]
@@ -56,6 +58,16 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([[0], np.searchsorted(starts, ends_of)])
 
 
+def rolling_hashes(words: np.ndarray, window: int, base: int) -> np.ndarray:
+    """Rabin-Karp hashes of all runs of `window` words, modulo 2 ** 64, from differences of one running sum; `base` is odd."""
+    n = len(words) - window + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _power(base, len(words)), out=sums[1:])
+    return mix((sums[window:] - sums[:-window]) * _power(pow(base, -1, 1 << 64), n))
+
+
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """For each text the sorted hashes of its distinct k-word shingles; of fewer words, the whole sequence is one."""
     h, at = word_hashes(texts)

@@ -6,15 +6,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, components, stored, text_hash
+from .shared import chunks, components, discard, stored, text_hash
 from .words import mix, shingle_sets
 
 #: Coordinates of a document's point.
 COORDINATES = 64
-#: Points in a leaf of the tree, and members of a bucket that one task joins at once.
+#: The logarithm of how many cells count the keys of all documents.
+CELL_BITS = 20
+#: Points in a leaf of the tree, and members of a bucket that one task joins at once; sets that one task compares with a common one.
 LEAF = 16
 BLOCK = 1024
 
@@ -35,17 +38,17 @@ class Similarity:
         return max(n + b - 2 * int(self.overlap(n, b)) for b in {n, largest, max(n, largest - 1)})
 
 
-def group_keys(s: np.ndarray, similarity: Similarity) -> np.ndarray:
-    """Keys of a sorted set of hashes, such that two different linked sets have one in common.
+def group_keys(s: np.ndarray, similarity: Similarity) -> list[np.ndarray]:
+    """Keys of a sorted set of hashes, in lists of which `choose` takes some, such that two different linked sets have one in common.
 
     Hashes are dealt to G groups by their size, G a function of the set's size class (powers of two; a set near the upper end of a class
-    also gives keys for the next, where larger partners may be). Linked sets differ in at most D elements, so among the first D + 1 groups
-    that hold anything one has equal content in both. Where a set has too few such groups, all of them and its single elements are keys.
+    also gives a list for the next, where larger partners may be); a list has the content of each group that holds anything. Linked sets differ in at most
+    D elements, so at most D groups of a set are not equal in the other. A set with too few groups for that gives its single elements as a list too.
     """
-    n, keys = len(s), []
+    n, lists, few = len(s), [], False
     d = similarity.difference(n)
     if d == 0:
-        return np.empty(0, np.uint64)
+        return []
     level = int(n).bit_length() - 1
     levels = [level] + [level + 1] * (n * similarity.den >= (2 << level) * similarity.num)
     for lv in levels:
@@ -54,27 +57,80 @@ def group_keys(s: np.ndarray, similarity: Similarity) -> np.ndarray:
         first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         content = np.add.reduceat(mix(s ^ np.uint64(0xA24BAED4963EE407)), first)
         tag = np.uint64((lv + 1) * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF)
-        keys.append(mix(content + mix(g[first] + tag))[: d + 1])
-        if len(first) <= d:
-            keys.append(mix(s + np.uint64(0x5851F42D4C957F2D)))
-    return np.unique(np.concatenate(keys))
+        lists.append(mix(content + mix(g[first] + tag)))
+        few = few or len(first) <= d
+    return [*lists, mix(s + np.uint64(0x5851F42D4C957F2D))] if few else lists
+
+
+def choose(lists: list[np.ndarray], n: int, counts: np.ndarray, similarity: Similarity) -> np.ndarray:
+    """The rarest D + 1 keys of each list by `counts`, all of a list with fewer.
+
+    In one order of all keys, the first key that two linked sets share has at most D before it in either list, so both choose it.
+    """
+    d = similarity.difference(n)
+    out = []
+    for keys in lists:
+        if len(keys) > d + 1 and len(keys) < n:
+            keys = keys[np.lexsort((keys, counts[(keys >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[: d + 1]]
+        out.append(keys)
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+
+
+def key_counts(described: DataFrame) -> np.ndarray:
+    """How many of all documents' keys fall into each of 2 ** CELL_BITS cells: of fixed size, whatever the input."""
+    cells, chunk = 1 << CELL_BITS, 1 << (CELL_BITS - 6)
+
+    def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(cells, np.int64)
+        for rows in frames:
+            keys = [k for lists in rows["keys"] for k in lists]
+            if keys:
+                np.add.at(total, (np.concatenate(keys).view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+        for i in range(0, cells, chunk):
+            part = total[i : i + chunk]
+            if part.any():
+                yield pd.DataFrame({"chunk": [i], "some": [TaskContext.get().partitionId() % 32], "counts": [part.tobytes()]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, np.int64) for c in rows["counts"])
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "counts": [total.tobytes()]})
+
+    counted = described.select("keys").mapInPandas(count, "chunk int, some int, counts binary")
+    counted = counted.groupBy("chunk", "some").applyInPandas(add, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
+    out = np.zeros(cells, np.int64)
+    for r in counted.collect():  # 2 ** CELL_BITS numbers
+        out[r["chunk"] : r["chunk"] + chunk] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def chosen_keys(described: DataFrame, similarity: Similarity) -> DataFrame:
+    """(key, sid): what decides which sets meet."""
+    counts = described.sparkSession.sparkContext.broadcast(key_counts(described).astype(np.uint32))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            keys = [choose([k.view(np.uint64) for k in lists], n, counts.value, similarity) for lists, n in zip(rows["keys"], rows["n"])]
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "sid": np.repeat(rows["sid"].to_numpy(np.int64), [len(k) for k in keys])})
+
+    return described.filter("sid is not null").select("keys", "n", "sid").mapInPandas(run, "key long, sid long")
 
 
 def describe(documents: DataFrame, k: int, similarity: Similarity, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, sid, n, keys, point) per document: its text's hash, its set's identity and size, keys and counts; sid null without words."""
+    """(id, th, sid, n, keys, point) per document: its text's hash, its set's identity and size, lists of keys and counts; sid null without words."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in chunks(frames, "text"):
             sets = shingle_sets(rows["text"].tolist(), k)
             yield pd.DataFrame({
                 "id": rows["id"], "th": rows["th"], "sid": pd.array([identity(s) for s in sets], "Int64"), "n": [len(s) for s in sets],
-                "keys": [group_keys(s, similarity).view(np.int64) if len(s) else [] for s in sets],
+                "keys": [[x.view(np.int64) for x in group_keys(s, similarity)] if len(s) else [] for s in sets],
                 "point": [point(s) for s in sets],
             })
 
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, th long, sid long, n long, keys array<long>, point binary")
+    return rows.mapInPandas(run, f"id {kind}, th long, sid long, n long, keys array<array<long>>, point binary")
 
 
 def identity(s: np.ndarray) -> int | None:
@@ -128,34 +184,45 @@ class RTree:
 
 
 def verified(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, similarity: Similarity, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of set identities that link: their sets are made again from one text each and intersected."""
+    """The pairs (a, b) of set identities that link: their sets are made again from one text each and intersected.
+
+    The pairs of one b are dealt into blocks of BLOCK; a block's task meets b's set first and then the others', one after another, so a set travels once
+    per block and a b with a third of all sets is many blocks.
+    """
     pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(nodes.select("sid", "rep"), "sid")
-    texts = documents.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    chosen = wanted.select(F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"), "sid")
-    texts = texts.join(chosen, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("sid", "text")
+    size = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    one = pairs.join(size, "b").select(F.col("a").alias("sid"), "b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("nth"))
+    hub = size.select(F.col("b").alias("sid"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("nth"))
+    wanted = stored(one.unionByName(hub).join(nodes.select("sid", "rep"), "sid").select("rep.id", "rep.th", "sid", "b", "block", "nth"), "wanted")
+    texts = documents.select(F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_th"), F.col(text_col).alias("text"))
+    # a repeated row of a representative would only repeat a comparison
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select("sid", "b", "block", "nth", "text")
 
     def make(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in chunks(frames, "text"):
-            yield pd.DataFrame({"sid": rows["sid"], "s": [s.tobytes() for s in shingle_sets(rows["text"].tolist(), k)]})
-
-    sets = stored(texts.mapInPandas(make, "sid long, s binary"), "sets")
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
-    both = both.join(sets.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+            first = rows.drop_duplicates("sid")
+            made = dict(zip(first["sid"], (s.tobytes() for s in shingle_sets(first["text"].tolist(), k))))
+            yield rows[["b", "block", "nth", "sid"]].assign(s=rows["sid"].map(made))
 
     def check(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, own = None, None
         for rows in frames:
-            keep = []
-            for x, y in zip(rows["sa"], rows["sb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
+            found = []
+            for b, nth, a, s in zip(rows["b"], rows["nth"], rows["sid"], rows["s"]):
+                s = np.frombuffer(s, np.uint64)
+                if nth == 0:
+                    now, own = b, s
+                    continue
+                x, y = (own, s) if len(own) < len(s) else (s, own)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[at] == x).sum())
-                keep.append(common * similarity.den >= similarity.num * (len(x) + len(y) - common))
-            yield rows.loc[keep, ["a", "b"]]
+                if common * similarity.den >= similarity.num * (len(x) + len(y) - common):
+                    found.append((a, now))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return stored(both.mapInPandas(check, "a long, b long").distinct(), "verified")
+    sets = texts.mapInPandas(make, "b long, block int, nth int, sid long, s binary")
+    sets = sets.repartition("b", "block").sortWithinPartitions("b", "block", "nth")
+    return stored(sets.mapInPandas(check, "a long, b long").distinct(), "verified")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
@@ -210,51 +277,74 @@ def near_duplicates(
     nothing. component_id is the smallest id reachable by links, the own id included; rows with a null id take part, and their component_id is
     null where no member has an id. One row per input row.
 
-    1. Each text is read once for its set's identity, size, point (COORDINATES group counts) and keys (`group_keys`). Copies share an identity and
-       are one node from here on; counting them is combined before the shuffle.
-    2. Nodes that share a key form a bucket. Every member is compared with the bucket's smallest member: by size and by the summed minima of
-       their points, then exactly. These links make first components.
-    3. Buckets whose members still lie in several components, each distinct set of members once, are joined inside by an R-tree over the
+    1. Each text is read once for its set's identity, size, point (COORDINATES group counts) and lists of keys (`group_keys`). Copies share an identity
+       and are one node from here on; counting them is combined before the shuffle. All documents' keys are counted in a table of fixed size, and every set
+       keeps its rarest keys (`choose`), so that boilerplate brings nothing together that has rarer parts.
+    2. Nodes that share a key form a bucket. Every node is compared with the smallest node that it meets in any bucket: by size and by the summed minima of
+       their points, then exactly. These links make components. In buckets that still hold several, members are compared with the bucket's smallest one.
+    3. Buckets whose members even now lie in several components, each distinct set of members once, are joined inside by an R-tree over the
        points; pairs within a component are skipped, what the bound leaves is verified exactly. The links of 2 and 3 make the components.
 
     No pair of linked sets is lost: they share a bucket, and there either have one component or are compared. Nothing is capped; a group of
-    near copies costs its members once in 2, and pairs are made only across components in 3.
+    near copies costs its members about once in 2, and pairs are made only across components in 3.
     """
     similarity = Similarity(num, den)
-    described = stored(describe(documents, k, similarity, id_col, text_col), "described")
-    with_set = described.filter("sid is not null")
+    known = stored(describe(documents, k, similarity, id_col, text_col), "described")
+    with_set = known.filter("sid is not null")
     nodes = with_set.groupBy("sid").agg(
         F.min(F.struct("id", "th")).alias("rep"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("point").alias("point")
     )
     nodes = stored(nodes, "nodes")
-    dealt = with_set.select(F.explode("keys").alias("key"), "sid")
+    described = stored(known.select("id", "sid", "n"), "sets-of")
+    dealt = stored(chosen_keys(known, similarity), "keys")
+    discard(known)
     buckets = dealt.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high")
-    members = stored(dealt.join(stored(buckets.select("key", "low"), "buckets"), "key").distinct(), "members")
-
-    tried = members.filter("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
-    links = verified(documents, _bounded(tried, nodes, similarity), nodes, k, similarity, id_col, text_col)
-    label = components(links)
-
-    labelled = members.select("key", "sid").join(label.withColumnRenamed("node", "sid"), "sid", "left")
-    labelled = stored(labelled.withColumn("label", F.coalesce("label", "sid")), "labelled")
-    mixed = labelled.groupBy("key").agg(
-        F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("c"), F.sum(F.xxhash64("sid") % (1 << 40)).alias("s"),
-        F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("x"),
-    )
-    mixed = mixed.filter("l <> h").groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key")
-    inside = labelled.join(stored(mixed, "mixed"), "key").join(nodes.select("sid", "point"), "sid").select("key", "sid", "label", "point")
-    more = _across(inside, similarity).join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(verified(documents, more, nodes, k, similarity, id_col, text_col))
-    label = components(links)
+    buckets = stored(buckets.select("key", "low"), "buckets")
+    members = stored(dealt.join(buckets, "key").distinct(), "members")
+    discard(dealt)
+    discard(buckets)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return verified(documents, _bounded(pairs, nodes, similarity), nodes, k, similarity, id_col, text_col)
+
+    first = members.groupBy("sid").agg(F.min("low").alias("low")).filter("low < sid")
+    tried = stored(first.select(F.col("sid").alias("a"), F.col("low").alias("b")), "tried")
+    links = linked(tried)
+    held = _mixed(members, components(links))
+    more = held.filter("sid <> low and label <> low_label").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
+    more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
+    links = stored(links.unionByName(linked(more)), "links")
+    held = _mixed(members, components(links))
+    again = held.groupBy("key").agg(
+        F.count("*").alias("c"), F.sum(F.xxhash64("sid") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("x")
+    )
+    again = stored(again.groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key"), "mixed")
+    inside = held.join(again, "key").join(nodes.select("sid", "point"), "sid").select("key", "sid", "label", "point")
+    known_pairs = tried.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = _across(inside, similarity).join(known_pairs, ["a", "b"], "left_anti")
+    label = components(links.unionByName(linked(rest)))
 
     reached = nodes.join(label.withColumnRenamed("node", "sid"), "sid").groupBy("label").agg(F.min("least").alias("component"))
     reached = label.join(reached, "label").select(F.col("node").alias("sid"), "component")
     group = stored(nodes.join(reached, "sid", "left").select("sid", F.coalesce("component", "least").alias("component")), "groups")
+    for table in (nodes, members, tried, more, links, held, again):
+        discard(table)
     return described.join(group, "sid", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 
 
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, sid, low, label, low_label) of the buckets whose members lie in several components."""
+    of = label.select(F.col("node").alias("sid"), "label")
+    own = members.join(of, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    own = stored(own.join(of.toDF("low", "low_label"), "low", "left").withColumn("low_label", F.coalesce("low_label", "low")), "labelled")
+    several = own.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("key")
+    out = stored(own.join(stored(several, "several"), "key"), "held")
+    discard(own)
+    return out
+
+
 def keep_one(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `documents` whose id is their component's, repeated rows once; rows with a null id cannot be told apart and stay."""
     groups = near_duplicates(documents, k, num, den, id_col, text_col)

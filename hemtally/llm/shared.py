@@ -16,11 +16,26 @@ def shared_folder(spark: SparkSession) -> str:
     return base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_llm_work"
 
 
+#: Whether the files of a query's shuffles are removed when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """`df` written once to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    Nothing reads the shuffles behind a written table again, so their files are removed at once.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from hemtally.llm import ngram_join
-from hemtally.llm.ngram_join import Similarity, group_keys, near_duplicates
+from hemtally.llm.ngram_join import CELL_BITS, Similarity, choose, group_keys, near_duplicates
 from hemtally.llm.words import shingle_sets
 
 SCHEMA = "doc_id long, text string, source string"
@@ -95,7 +96,7 @@ def test_clashing_columns_do_not_matter(spark):
 
 @pytest.mark.parametrize("n", [6, 7, 12, 31, 40, 64, 127, 500, 3000])
 def test_linked_sets_share_a_key(n):
-    """At the least similarity that links, whatever the sizes."""
+    """At the least similarity that links, whatever the sizes and how often keys occur."""
     r = random.Random(n)
     similarity = Similarity(85, 100)
     for _ in range(40):
@@ -114,4 +115,5 @@ def test_linked_sets_share_a_key(n):
         if b == set(a):
             continue
         x, y = (shingle_sets([" ".join(map(str, s))], 1)[0] for s in (a, b))
-        assert set(group_keys(x, similarity)) & set(group_keys(y, similarity))
+        counts = np.random.default_rng(r.randrange(1 << 30)).integers(0, 5, 1 << CELL_BITS)
+        assert set(choose(group_keys(x, similarity), len(x), counts, similarity)) & set(choose(group_keys(y, similarity), len(y), counts, similarity))

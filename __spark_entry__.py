@@ -17,8 +17,8 @@ from hemtally.functions import days_before  # noqa: E402
 from hemtally.operators.audience import CATEGORY, USER_AGENT, WINDOWS_WITH_180, flat_impressions  # noqa: E402
 from hemtally.operators.clusters import FIVE_POINTS  # noqa: E402
 from hemtally.sample import ACTIVITY_RUN, IMPRESSION_RUN, Sample  # noqa: E402
-from hemtally.sinks import load_snapshot, write_delimited  # noqa: E402
-from hemtally.sources import shared_path  # noqa: E402
+from hemtally.sinks import DayTable, load_snapshot, write_delimited  # noqa: E402
+from hemtally.sources import malformed_lines, read_delimited, settled, shared_path  # noqa: E402
 
 ADVERTISER = "101"
 WINDOW = ("2024-01-05", "2024-01-20")
@@ -75,7 +75,7 @@ def _hash_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hash_types_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "client")
     write_delimited(Sample(spark, sf_dir).client_mixed(), path)
-    return ops.classify_hashes(plans.client_hashes(spark, f"{path}/part-*"))
+    return settled(ops.classify_hashes(plans.client_hashes(spark, f"{path}/part-*")), path)
 
 
 def _hash_types_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def _from_daily_counts(
     (week_before,) = days_before(IMPRESSION_RUN, 7, 7)
     for run in (week_before, IMPRESSION_RUN):
         plans.refresh_daily_counts(impressions, members, store, run, keys, max_days, SKIPPED)
-    return count(plans.read_daily_counts(impressions, store, IMPRESSION_RUN, keys, max_days, SKIPPED))
+    return settled(count(plans.read_daily_counts(impressions, store, IMPRESSION_RUN, keys, max_days, SKIPPED)), store)
 
 
 def _hash_match_counts_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ def _hash_match_counts_redone(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = before.withColumn("md5", nobody)
     plans.refresh_daily_counts(before, members, store, IMPRESSION_RUN, keys, skip_dates=SKIPPED)
     plans.refresh_daily_counts(after, members, store, IMPRESSION_RUN, keys, skip_dates=SKIPPED, redo=[day])
-    return ops.hash_match_counts(plans.read_daily_counts(after, store, IMPRESSION_RUN, keys, skip_dates=SKIPPED))
+    return settled(ops.hash_match_counts(plans.read_daily_counts(after, store, IMPRESSION_RUN, keys, skip_dates=SKIPPED)), store)
 
 
 def _user_agent_counts_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +208,26 @@ def _snapshot_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     load_snapshot(sample.load_target(), target, ACTIVITY_RUN)
     for _ in range(2):
         load_snapshot(sample.load_incoming(), target, ACTIVITY_RUN)
-    return spark.read.parquet(target)
+    return settled(spark.read.parquet(target), target)
+
+
+def _snapshot_load_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same loads, each one commit."""
+    sample = Sample(spark, sf_dir)
+    target = shared_path(spark, "snapshots")
+    table = DayTable(spark, target)
+    table.load(sample.load_target(), ACTIVITY_RUN)
+    for _ in range(2):
+        table.load(sample.load_incoming(), ACTIVITY_RUN)
+    table.vacuum()
+    return settled(table.read(), target)
+
+
+def _daily_load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dated file of a daily load, read back."""
+    folder = shared_path(spark, "daily-load")
+    path = plans.daily_load(Sample(spark, sf_dir).load_incoming(), "job", f"{folder}/csv", f"{folder}/table", ACTIVITY_RUN)
+    return settled(spark.read.option("header", True).schema('kind string, user long, event_date date').csv(path), folder)
 
 
 def _snapshot_load_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +239,7 @@ def _snapshot_load_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
         load_snapshot(events.select(F.lit(kind).alias("kind"), F.col("user_id").alias("user"), at.alias("event_date")), target, ACTIVITY_RUN)
     loaded = spark.read.parquet(target)
     instant = F.date_format("event_date_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("instant")
-    return loaded.select("kind", "user", instant, "event_date")
+    return settled(loaded.select("kind", "user", instant, "event_date"), target)
 
 
 def _match_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +247,88 @@ def _match_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = Sample(spark, sf_dir)
     folder = shared_path(spark, "match-file")
     path = plans.write_match_file(sample.client_md5(), sample.graph(), sample.pairs(), folder, "20240130", "20010801")
-    return spark.read.schema("hem string, has_linked boolean, has_maid boolean").csv(path)
+    return settled(spark.read.schema("hem string, has_linked boolean, has_maid boolean").csv(path), folder)
+
+
+def _pids_per_cluster_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.pids_per_cluster(_long_form(spark, sf_dir), digits=2)
+
+
+def _clusters_per_pid_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.clusters_per_pid(_long_form(spark, sf_dir), digits=4)
+
+
+def _profile_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct counts merged from sketches of days that were stored in two loads, held against the exact ones."""
+    log, store = Sample(spark, sf_dir).weblog().drop("ts"), shared_path(spark, "profiles")
+    first = F.col("log_date") <= F.lit("2024-01-15").cast("date")
+    for some in (first, ~first):
+        ops.profile_sketches(log.filter(some), "log_date").write.mode("append").parquet(store)
+    exact = ops.profile_file(log.drop("log_date")).select("column", F.col("n_distinct").alias("exact"))
+    merged = ops.merged_profile(spark.read.parquet(store)).join(exact, "column")
+    certified = F.col("exact").between(F.col("n_least"), F.col("n_most"))
+    return settled(merged.select("column", "n_rows", F.col("exact").alias("n_distinct"), certified.alias("certified")), store)
+
+
+def _file_profile_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "file")
+    write_delimited(Sample(spark, sf_dir).file(), path, sep="\t")
+    return settled(plans.file_report(spark, path, ["_c0", "_c1", "_c2"])["profile"], path)
+
+
+def _cluster_report_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "clusters")
+    write_delimited(Sample(spark, sf_dir).clusters(), path, sep="\t")
+    return settled(plans.cluster_file_report(spark, path, ["cluster_id", "tokens"])["distribution"], path)
+
+
+def _malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "lines")
+    Sample(spark, sf_dir).uneven_lines().write.text(path)
+    read = read_delimited(spark, path, ["key", "segment", "name"], ";", malformed="line")
+    return settled(malformed_lines(read, "line", ";"), path)
+
+
+def _converted_domain_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of other hashes turned into an md5 file, and the report on that."""
+    sample, folder = Sample(spark, sf_dir), shared_path(spark, "converted")
+    write_delimited(sample.client_sha1(), f"{folder}/sha1")
+    converted = plans.converted_hashes(spark, f"{folder}/sha1", "sha1", sample.hash_lookup(), f"{folder}/md5")
+    report = plans.stat_report(plans.client_hashes(spark, f"{folder}/sha1"), sample.pairs(), sample.domain_names(), converted)
+    result = settled(report["domain_breakdown"], folder)
+    report.drop()
+    return result
+
+
+def _delivered_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw log days, the last ones not delivered, to the delivered file, read back."""
+    sample, folder = Sample(spark, sf_dir), shared_path(spark, "delivery")
+    sample.raw_log(f"{folder}/log")
+    path = plans.deliver_cookie_hashes(spark, f"{folder}/log", sample.graph(), ADVERTISER, f"{folder}/out", "2024-01-20", "2024-02-03", most_missing=4)
+    return settled(spark.read.schema("hem string").option("sep", "\t").csv(path), folder)
+
+
+def _pair_stats_from_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "pairs")
+    table = folder.rsplit("/", 1)[-1].replace("-", "_")
+    Sample(spark, sf_dir).pairs().write.partitionBy("date_p").option("path", folder).saveAsTable(table)
+    result = settled(plans.catalog_pair_stats(spark, table), folder)
+    spark.sql(f"drop table {table}")
+    return result
+
+
+def _hash_match_counts_text_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days kept as text, yyyyMMdd."""
+    sample = Sample(spark, sf_dir)
+    text = sample.impressions().withColumn("date_p", F.date_format("date_p", "yyyyMMdd"))
+    return ops.hash_match_counts(ops.lookback(text, IMPRESSION_RUN, skip_dates=SKIPPED), ops.audience_members(sample.emails()))
+
+
+def _audience_run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three files of a run, read back."""
+    sample, folder = Sample(spark, sf_dir), shared_path(spark, "audience-run")
+    plans.audience_run(sample.impressions(), sample.emails(), folder, IMPRESSION_RUN, SKIPPED, max_files=3)
+    return settled(plans.read_run(sample.impressions(), folder), folder)
 
 
 def _period_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,6 +379,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "match_file": _match_file,
         "period_activity": _period_activity,
         "alert_rows": _alert_rows,
+        "snapshot_load_atomic": _snapshot_load_atomic,
+        "daily_load_csv": _daily_load_csv,
+        "pids_per_cluster_certified": _pids_per_cluster_certified,
+        "clusters_per_pid_certified": _clusters_per_pid_certified,
+        "profile_of_days": _profile_of_days,
+        "file_profile_from_file": _file_profile_from_file,
+        "cluster_report_from_file": _cluster_report_from_file,
+        "malformed_lines": _malformed_lines,
+        "converted_domain_breakdown": _converted_domain_breakdown,
+        "delivered_hashes": _delivered_hashes,
+        "pair_stats_from_catalog": _pair_stats_from_catalog,
+        "hash_match_counts_text_days": _hash_match_counts_text_days,
+        "audience_run_results": _audience_run_results,
     }
     return own | (llm.queries() | {"pipeline": llm.shipped(corpus_pipeline.run)} if llm else {})
 
@@ -423,6 +536,27 @@ def _distribution(key: str, points: dict[str, float], sizes: str) -> str:
         union all select 'MAID ALL', count(distinct {key}), {shape} from {maid} having count(distinct domain) = 2"""
 
 
+def _binned(key: str, digits: int) -> str:
+    """Percentiles as the largest size of their bin, by each bin's rank."""
+    at = {name: f"min_by(top, bin) filter (rank >= {p} * of)" for name, p in _EIGHT.items()}
+    unsure = ", ".join(f"min_by(case when low < top then n else 0 end, bin) filter (rank >= {p} * of)" for p in _EIGHT.values())
+    return f"""
+        , sizes as ({_sizes(key)}),
+        labelled as (
+          select 'ALL' as label, * from sizes union all select domain, * from sizes
+          union all select 'MAID ALL', * from sizes
+          where domain in ('aaid', 'idfa') and (select count(distinct domain) from sizes where domain in ('aaid', 'idfa')) = 2),
+        bins as (
+          select label, ct - ct % (1 << cast(greatest(0, length(bin(ct)) - {digits}) as bigint)) as bin, count(*) as n, sum(ct) as tokens, min(ct) as low, max(ct) as top
+          from labelled group by all),
+        ranked as (
+          select *, sum(n) over (partition by label order by bin) as rank, sum(n) over (partition by label) as of from bins),
+        keys as (select label, count(distinct {key}) as ct from labelled group by label)
+        select label as domain, keys.ct, round(sum(tokens) / sum(n), 1) as mean, {", ".join(f"{x} as {name}" for name, x in at.items())},
+          round(greatest({unsure}) / max(of), 6) as rank_error
+        from ranked join keys using (label) group by label, keys.ct"""
+
+
 def _report() -> str:
     sides = {"cluster": "cluster_id", "pid": "pid"}
     columns = ", ".join(f"{side}.{name} as {side}_{name}" for side in sides for name in ("ct", "mean", *_EIGHT))
@@ -558,6 +692,50 @@ def _own_answers() -> dict[str, str]:
         "user_agent_counts_incremental": agents,
         "category_counts": categories,
         "category_counts_incremental": categories,
+        "snapshot_load_atomic": _with(
+            "target",
+            """
+        select distinct kind, "user", event_date from target where event_date <> date '2024-01-30'
+        union all select distinct 'reloaded', user_id, date '2024-01-30' from events""",
+        ),
+        "daily_load_csv": "select distinct 'reloaded' as kind, user_id as \"user\", date '2024-01-30' as event_date from events",
+        "pids_per_cluster_certified": _with("long", _binned("cluster_id", 2)),
+        "clusters_per_pid_certified": _with("long", _binned("pid", 4)),
+        "profile_of_days": _with(
+            "weblog",
+            " union all ".join(
+                f"select '{c}' as \"column\", count(*) as n_rows, count(distinct {c}) as n_distinct, true as certified from weblog"
+                for c in ("adv_id", "domain_user_id", "linked_cookie")
+            ),
+        ),
+        "file_profile_from_file": _with(
+            "file",
+            """
+        select '_c0' as "column", count(*) as n_rows, count(distinct _c0) as n_distinct from file
+        union all select '_c1', count(*), count(distinct _c1) from file
+        union all select '_c2', count(*), count(distinct _c2) from file""",
+        ),
+        "cluster_report_from_file": _report(),
+        "malformed_lines": """
+        select case when c_custkey % 7 = 0 then 2 else 4 end as n_fields, count(*) as n_lines,
+          min(concat(cast(c_custkey as varchar), ';', c_mktsegment, case when c_custkey % 7 = 0 then '' else concat(';', c_name, ';more') end)) as example
+        from customer where c_custkey % 7 = 0 or c_custkey % 11 = 0 group by 1""",
+        "converted_domain_breakdown": _with(
+            "stats lookup client_sha1 names", _breakdown(f"(select md5 as hem from ({_converted('sha1')}))")
+        ),
+        "delivered_hashes": _with("weblog graph", _visitors("date '2024-01-20'", "date '2024-02-03'")),
+        "pair_stats_from_catalog": _with("stats", "select * from stats"),
+        "hash_match_counts_text_days": counts,
+        "audience_run_results": _with(
+            "recent",
+            f"""
+        select 'hash_match_counts' as result, *, null as ip, null as dev_type, null as dev_maker, null as nbrowser, null as os,
+          cast(null as bigint) as ct_45, null as category_id from ({_counts_within((30, 60, 90))})
+        union all select 'user_agent_counts', md5, null, null, null, ip, dev_type, dev_maker, nbrowser, os, count(*), null
+          from recent where days_since <= 45 group by all
+        union all select 'category_counts', md5, null, null, null, null, null, null, null, null, count(*), category_id
+          from recent where days_since <= 45 group by all""",
+        ),
         "date_coverage": _with(
             "impressions",
             """

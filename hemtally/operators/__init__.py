@@ -10,6 +10,7 @@ from hemtally.operators.audience import (
     hash_match_counts,
     in_audience,
     lookback,
+    matched_counts,
     user_agent_counts,
 )
 from hemtally.operators.clusters import (
@@ -22,7 +23,7 @@ from hemtally.operators.clusters import (
 )
 from hemtally.operators.hashes import classify_hashes, convert_hashes
 from hemtally.operators.matching import domain_breakdown, match_counts, match_flags, matched_stats, pair_stats
-from hemtally.operators.profile import preview, profile_file
+from hemtally.operators.profile import merged_profile, preview, profile_file, profile_sketches
 from hemtally.operators.weblog import advertiser_cookies, cookies_to_hashes, hashes_of_cookies
 
 __all__ = [
@@ -50,11 +51,14 @@ __all__ = [
     "lookback",
     "match_counts",
     "match_flags",
+    "matched_counts",
     "matched_stats",
+    "merged_profile",
     "pair_stats",
     "period_activity",
     "pids_per_cluster",
     "preview",
     "profile_file",
+    "profile_sketches",
     "user_agent_counts",
 ]

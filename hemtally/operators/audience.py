@@ -8,8 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hemtally.functions.dates import as_day, days_before, on_days
-from hemtally.operators.keys import key_list
+from hemtally.functions.dates import as_day, day_value, days_before, on_days
+from hemtally.operators.keys import apart, key_list
 from hemtally.sources.snapshots import at_snapshot
 
 # Lookback days in total, those of the cumulative windows, of the detail counts, and of the coverage
@@ -54,7 +54,7 @@ def lookback(
     """Impressions of the days 1 to ``max_days`` before the run, with ``days_since``. Only those days are read."""
     skipped = {as_day(day) for day in skip_dates}
     days = [day for day in days_before(run_date, 1, max_days) if day not in skipped]
-    since = F.datediff(F.lit(as_day(run_date)), F.col(date_col).try_cast("date"))
+    since = F.datediff(F.lit(as_day(run_date)), day_value(impressions, date_col))
     return impressions.filter(on_days(impressions, date_col, days)).withColumn("days_since", since)
 
 
@@ -113,7 +113,23 @@ def daily_counts(
     if tuple(keys) == ("md5",):
         counts = rows.groupBy(date_col, *keys).agg(F.count("*").alias("n"))
         return in_audience(counts, members).select(date_col, *keys, "n")
-    return in_audience(rows, members).groupBy(date_col, *keys).agg(F.count("*").alias("n"))
+    return _listed_apart(rows, members).groupBy(date_col, *keys).agg(F.count("*").alias("n"))
+
+
+def matched_counts(rows: DataFrame, members: DataFrame | None = None, days: int = DETAIL_DAYS) -> DataFrame:
+    """The finest counts that all results of a run come from: impressions of listed hashes per window, and within ``days`` per device and category.
+
+    ``[md5, <device>, category_id, days_since, n]``, where ``days_since`` is the end of the window that the impressions fall into. Older impressions
+    carry no device and no category, which nothing asks of them, so they combine to a few rows per hash.
+    """
+    since = F.col("days_since")
+    window = since
+    for end in sorted({*WINDOWS_WITH_180, days}, reverse=True):
+        window = F.when(since <= end, end).otherwise(window)
+    details = [F.when(since <= days, F.col(name)).alias(name) for name in IMPRESSION if name != "md5"]
+    listed = _listed_apart(rows.select(*IMPRESSION, "days_since", _count(rows).cast("long").alias("n")), members)
+    listed = listed.select("md5", *details, window.alias("days_since"), "n")
+    return listed.groupBy(*IMPRESSION, "days_since").agg(F.sum("n").alias("n"))
 
 
 def date_coverage(
@@ -138,10 +154,15 @@ def date_coverage(
 
 def _detail_counts(rows: DataFrame, members: DataFrame | None, keys: Sequence[str], days: int) -> DataFrame:
     # These keys hardly combine, so non-members go first: they are shuffled once at most.
-    recent = in_audience(rows.filter(F.col("days_since") <= days), members)
+    recent = _listed_apart(rows.filter(F.col("days_since") <= days), members)
     return recent.groupBy(*keys).agg(F.sum(_count(rows)).alias(f"ct_{days}"))
 
 
+def _listed_apart(rows: DataFrame, members: DataFrame | None) -> DataFrame:
+    """Listed rows to aggregate by more than the hash: a hash with very many rows is split over tasks."""
+    return rows if members is None else apart(in_audience(rows, members), "md5")
+
+
 def _count(rows: DataFrame) -> Column:
     """What a row stands for: its daily count if it has one, else one impression."""
     return F.col("n") if "n" in rows.columns else F.lit(1)

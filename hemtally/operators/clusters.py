@@ -46,14 +46,19 @@ def pids_per_cluster(
     percentiles: Sequence[float] = PERCENTILES,
     accuracy: int | None = None,
     maid_domains: tuple[str, ...] = MAID_DOMAINS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Distribution of tokens per cluster: for all domains, for each domain, and for the mobile ones together.
 
     ``[domain, ct, mean, min, p25, ..., max]``. ``ct`` is the number of clusters; the sizes are per cluster *and*
     domain. The mobile total appears only if every mobile domain does. Percentiles are sizes that occur (the
     discrete kind); with ``accuracy`` they come from Spark's sketch, whose rank is off by at most 1/accuracy.
+
+    With ``digits`` they come from summaries that count sizes by their first ``digits`` binary digits: the same however rows lie in tasks, and they add up
+    over files. A percentile is then the largest size of the one bin that holds the exact percentile, so less than 1 / 2 ** (digits - 1) above it, and the
+    column ``rank_error`` certifies its rank: at most that share of the groups lies between it and the exact one, for any of the percentiles.
     """
-    return _distribution(long, ("cluster",), percentiles, accuracy, maid_domains).drop("kind", "scope")
+    return _distribution(long, ("cluster",), percentiles, accuracy, maid_domains, digits).drop("kind", "scope")
 
 
 def clusters_per_pid(
@@ -61,9 +66,10 @@ def clusters_per_pid(
     percentiles: Sequence[float] = PERCENTILES,
     accuracy: int | None = None,
     maid_domains: tuple[str, ...] = MAID_DOMAINS,
+    digits: int | None = None,
 ) -> DataFrame:
     """The same for the tokens: how often each id occurs. ``ct`` is the number of ids."""
-    return _distribution(long, ("pid",), percentiles, accuracy, maid_domains).drop("kind", "scope")
+    return _distribution(long, ("pid",), percentiles, accuracy, maid_domains, digits).drop("kind", "scope")
 
 
 def cluster_report(
@@ -97,6 +103,7 @@ def _distribution(
     percentiles: Sequence[float],
     accuracy: int | None,
     maid_domains: tuple[str, ...],
+    digits: int | None = None,
 ) -> DataFrame:
     """``[kind, scope, domain, ct, mean, <percentiles>]`` of group sizes, groups being (key, domain) for each kind.
 
@@ -113,7 +120,9 @@ def _distribution(
         .groupBy(F.col("group.kind").alias("kind"), "domain", F.col("group.key").alias("key"))
         .agg(F.count("*").alias("ct"))
     )
-    if accuracy is None:
+    if digits is not None:
+        measured = _measures(sizes, percentiles, maid_domains, digits)
+    elif accuracy is None:
         measured = _measures(sizes, percentiles, maid_domains)
     else:
         sketches = _sketched_percentiles(sizes, percentiles, accuracy, maid_domains)
@@ -128,16 +137,21 @@ def _distribution(
         F.when(whole_clusters, F.col("n_clusters")).otherwise(F.col("n_groups")).alias("ct"),
         "mean",
         *map(_percentile_name, percentiles),
+        *([] if digits is None else ["rank_error"]),
     )
 
 
-def _measures(sizes: DataFrame, percentiles: Sequence[float], maid_domains: tuple[str, ...]) -> DataFrame:
-    """Counts, mean and exact percentiles per kind and result row.
+def _measures(
+    sizes: DataFrame, percentiles: Sequence[float], maid_domains: tuple[str, ...], digits: int | None = None
+) -> DataFrame:
+    """Counts, mean and percentiles per kind and result row: exact, or from bins of sizes that share their first digits.
 
     One pass counts two things: groups by (domain, size), few rows, and clusters, one row each with whether it has a
     mobile id. Ids need no such count, so all of them fall into one row. The rows of clusters have no size.
     """
     cluster = F.when(F.col("kind") == "cluster", F.col("key"))
+    if digits is not None:
+        return _binned_measures(sizes.withColumn("cluster", cluster), percentiles, maid_domains, digits)
     counted = (
         sizes.select("kind", "ct", F.col("domain").alias("source"), cluster.alias("cluster"))
         .groupingSets(
@@ -180,6 +194,61 @@ def _measures(sizes: DataFrame, percentiles: Sequence[float], maid_domains: tupl
     )
 
 
+def _binned_measures(
+    sizes: DataFrame, percentiles: Sequence[float], maid_domains: tuple[str, ...], digits: int
+) -> DataFrame:
+    """``_measures`` by bins. A result row has at most 2 ** digits * 64 bins, so they fit into one array and need no ordering by shuffle."""
+    ct = F.col("ct")
+    width = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(ct)) - digits)).cast("long")
+    counted = (
+        sizes.select("kind", "ct", (ct - ct % width).alias("bin"), F.col("domain").alias("source"), "cluster")
+        .groupingSets([["kind", "source", "bin"], ["kind", "cluster"]], "kind", "source", "bin", "cluster")
+        .agg(
+            F.count("*").alias("n"), F.sum("ct").alias("tokens"), F.min("ct").alias("low"), F.max("ct").alias("top"),
+            F.max(is_maid_domain(F.col("source"), maid_domains)).alias("maid"),
+        )
+    )
+    total = _totals(F.col("source"), F.col("maid"))
+    binned = F.col("bin").isNotNull()
+    bins = (
+        counted.select("kind", "bin", "cluster", "source", total, "low", "top", *(F.when(binned, F.col(c)).alias(c) for c in ("n", "tokens")))
+        .groupBy("kind", "total", "bin")
+        .agg(
+            F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.min("low").alias("low"), F.max("top").alias("top"),
+            F.count("cluster").alias("n_clusters"),
+            *(F.max(F.col("source") == name).alias(seen) for name, seen in zip(maid_domains, _seen_columns(maid_domains))),
+        )
+    )
+    kept = F.when(F.col("bin").isNotNull(), F.struct("bin", "n", "low", "top"))
+    measured = bins.groupBy("kind", "total").agg(
+        F.sum("n").alias("n_groups"),
+        F.sum("n_clusters").alias("n_clusters"),
+        F.round(F.sum("tokens") / F.sum("n"), 1).alias("mean"),
+        F.array_sort(F.collect_list(kept)).alias("bins"),
+        *(F.max(seen).alias(seen) for seen in _seen_columns(maid_domains)),
+    )
+
+    def found(p: float) -> Column:
+        target = F.lit(Decimal(str(p))) * F.col("n_groups").cast("decimal(20,0)")
+
+        def step(state: Column, b: Column) -> Column:
+            here = state["top"].isNull() & (state["rank"] + b["n"] >= target)
+            return F.struct(
+                (state["rank"] + b["n"]).alias("rank"),
+                F.when(here, b["top"]).otherwise(state["top"]).alias("top"),
+                F.when(here & (b["low"] < b["top"]), b["n"]).otherwise(state["unsure"]).alias("unsure"),
+            )
+
+        nothing = F.lit(None).cast("long")
+        return F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("rank"), nothing.alias("top"), F.lit(0).cast("long").alias("unsure")), step)
+
+    measured = measured.withColumns({f"at_{n}": found(p) for n, p in enumerate(percentiles)})
+    unsure = F.array_max(F.array(*(F.col(f"at_{n}.unsure") for n in range(len(percentiles)))))
+    return measured.withColumns(
+        {_percentile_name(p): F.col(f"at_{n}.top") for n, p in enumerate(percentiles)} | {"rank_error": F.round(unsure / F.col("n_groups"), 6)}
+    ).drop("bins")
+
+
 def _sketched_percentiles(
     sizes: DataFrame, percentiles: Sequence[float], accuracy: int, maid_domains: tuple[str, ...]
 ) -> DataFrame:

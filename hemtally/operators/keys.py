@@ -1,4 +1,4 @@
-"""Key lists for semi joins."""
+"""Key lists for semi joins, and what follows them."""
 
 from __future__ import annotations
 
@@ -19,3 +19,13 @@ def key_list(df: DataFrame, key: str) -> DataFrame:
     """
     part = F.pmod(F.spark_partition_id(), F.lit(COPIES)).alias("part")
     return df.select(key, part).distinct().select(key)
+
+
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """The same rows, with ``key`` as text of which Spark doesn't know that they are partitioned by it.
+
+    To stand between a join by ``key`` and an aggregation by more keys. Otherwise the join's partitioning serves the aggregation too, in one stage, and
+    AQE cannot split a join whose partitions something above it relies on. So the aggregation combines rows in each of the join's (split)
+    tasks and exchanges them by all of its keys.
+    """
+    return df.withColumn(key, F.concat(F.col(key), F.lit("")))

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemtally.functions.dates import as_day
+from hemtally.functions.dates import as_day, between_days
 from hemtally.operators.keys import key_list
 from hemtally.sources.snapshots import at_snapshot
 
@@ -72,5 +72,5 @@ def cookies_to_hashes(
         first = F.lit(as_day(end) - timedelta(days=DAYS_BEFORE_END))
     else:
         first = F.date_sub(last, DAYS_BEFORE_END)
-    window = F.col("log_date").between(first, last)
+    window = between_days(weblog, "log_date", first, last)
     return hashes_of_cookies(advertiser_cookies(weblog.filter(window), adv_id), graph)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Sequence
 from datetime import date
 
@@ -9,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hemtally.functions.dates import as_day, days_before
+from hemtally.functions.dates import as_day, day_value, days_before
 from hemtally.operators.audience import (
     CATEGORY,
     DETAIL_DAYS,
+    IMPRESSION,
     MAX_DAYS,
     USER_AGENT,
     audience_members,
@@ -21,10 +23,12 @@ from hemtally.operators.audience import (
     flat_impressions,
     hash_match_counts,
     lookback,
+    matched_counts,
     user_agent_counts,
 )
 from hemtally.sinks.daily import write_days
 from hemtally.sinks.delimited import write_delimited
+from hemtally.sources.shared import WrittenOnce
 from hemtally.sources.snapshots import latest_value
 
 
@@ -40,8 +44,8 @@ def audience_run(
 ) -> None:
     """Write the three counts as CSV below ``folder``.
 
-    Without a ``store`` they come straight from the impressions: each reads only its own days and columns, so nothing
-    is cached between them. With one, daily counts are kept there for each email snapshot, and a later run, or one that
+    Without a ``store`` the impressions are read and met with the list once: their finest counts are written to the shared folder, the three
+    results come from those. With one, daily counts are kept there for each email snapshot, and a later run, or one that
     takes up a failed run, reads the impressions of the days it lacks only.
     """
     skipped = list(skip_dates)
@@ -49,16 +53,29 @@ def audience_run(
     if snapshot is None:
         snapshot = latest_value(emails)
     members = audience_members(emails, snapshot)
+    if store is None:
+        with WrittenOnce(matched_counts(lookback(flat, run_date, MAX_DAYS, skipped), members), "matched-counts") as matched:
+            for name, _, _, count in _RESULTS:
+                write_delimited(count(matched), f"{folder.rstrip('/')}/{name}", max_files=max_files)
+        return
     for name, keys, days, count in _RESULTS:
-        if store is None:
-            result = count(lookback(flat, run_date, days, skipped), members)
-        else:
-            kept = f"{store.rstrip('/')}/{snapshot}/{name}"
-            refresh_daily_counts(flat, members, kept, run_date, keys, days, skipped)
-            result = count(read_daily_counts(flat, kept, run_date, keys, days, skipped))
+        kept = f"{store.rstrip('/')}/{snapshot}/{name}"
+        refresh_daily_counts(flat, members, kept, run_date, keys, days, skipped)
+        result = count(read_daily_counts(flat, kept, run_date, keys, days, skipped))
         write_delimited(result, f"{folder.rstrip('/')}/{name}", max_files=max_files)
 
 
+def read_run(impressions: DataFrame, folder: str) -> DataFrame:
+    """The three files of a run in one table, ``result`` telling which; columns that a result lacks are NULL. ``impressions`` tells the types of the keys."""
+    spark, parts = impressions.sparkSession, []
+    flat = flat_impressions(impressions).select(*IMPRESSION)
+    for name, _, _, count in _RESULTS:
+        empty = count(flat.withColumns({"days_since": F.lit(0), "n": F.lit(0).cast("long")}))
+        read = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in empty.schema])).csv(f"{folder.rstrip('/')}/{name}")
+        parts.append(read.withColumn("result", F.lit(name)))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def refresh_daily_counts(
     impressions: DataFrame,
     members: DataFrame,
@@ -129,7 +146,7 @@ def _store_rows(
 
 
 def _days(counts: DataFrame) -> DataFrame:
-    return counts.withColumn("date_p", F.col("date_p").cast("date"))
+    return counts.withColumn("date_p", day_value(counts, "date_p"))
 
 
 # The results of a run: name, keys, lookback days, and what counts them.

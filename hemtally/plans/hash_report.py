@@ -11,7 +11,7 @@ from hemtally.operators.matching import domain_breakdown, match_counts, match_fl
 from hemtally.sinks.delimited import write_delimited
 from hemtally.sources.delimited import read_delimited
 from hemtally.sources.shared import WrittenOnce
-from hemtally.sources.snapshots import latest_value
+from hemtally.sources.snapshots import latest_partition, latest_value
 
 
 def client_hashes(spark: SparkSession, path: str, column: str = "hem") -> DataFrame:
@@ -57,6 +57,11 @@ def stat_report(
     return report
 
 
+def catalog_pair_stats(spark: SparkSession, table: str) -> DataFrame:
+    """Pair counts of the newest snapshot of a catalog table, which the catalog names: the plan has it as a literal and opens that partition alone."""
+    return pair_stats(spark.table(table), latest_partition(spark, table))
+
+
 def write_match_file(
     client: DataFrame,
     graph: DataFrame,

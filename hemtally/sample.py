@@ -11,6 +11,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hemtally.operators.weblog import log_columns
+from hemtally.sources.shared import remove_path
+
 # Run dates that fit the derived tables.
 IMPRESSION_RUN = date(2001, 8, 2)
 ACTIVITY_RUN = date(2024, 1, 31)
@@ -128,6 +131,7 @@ class Sample:
     def weblog(self) -> DataFrame:
         event, user = F.col("event_id"), F.col("user_id").cast("string")
         return self.table("events").select(
+            F.col("ts"),
             F.col("ts").cast("date").alias("log_date"),
             (F.lit(100) + event % 4).cast("string").alias("adv_id"),
             F.when(event % 5 == 0, "null").otherwise(F.concat(F.lit("d"), user)).alias("domain_user_id"),
@@ -137,6 +141,32 @@ class Sample:
             .alias("linked_cookie"),
         )
 
+    def raw_log(self, base: str) -> None:
+        """The web log as it arrives: ``base/yyyy/MM/dd/HH/``, 24 fields without names, separated by tabs, for each half of a day."""
+        staged = f"{base}-staged"
+        fields = {name: F.lit(f"field {n}") for n, name in enumerate(log_columns())}
+        log = self.weblog().select("adv_id", "domain_user_id", "linked_cookie", "ts")
+        fields |= {name: F.col(name) for name in ("adv_id", "domain_user_id", "linked_cookie")}
+        half = F.format_string("%02d", F.hour("ts") - F.hour("ts") % 12)
+        parts = {"y": F.date_format("ts", "yyyy"), "m": F.date_format("ts", "MM"), "d": F.date_format("ts", "dd"), "h": half}
+        rows = log.select(*(c.alias(n) for n, c in (fields | parts).items()))
+        rows.write.partitionBy(*parts).option("sep", "\t").csv(staged)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        system = path(staged).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in system.globStatus(path(f"{staged}/*/*/*/*")):
+            hour = found.getPath()
+            names = str(hour.toString()).rsplit("/", 4)[1:]
+            target = path("/".join([base, *(name.split("=")[1] for name in names)]))
+            system.mkdirs(target.getParent())
+            system.rename(hour, target)
+        remove_path(self.spark, staged)
+
+    def uneven_lines(self) -> DataFrame:
+        """Lines of three fields; every seventh customer's has two, every eleventh's four."""
+        key = F.col("c_custkey")
+        fields = F.concat_ws(";", key.cast("string"), "c_mktsegment", F.when(key % 7 != 0, F.col("c_name")), F.when((key % 7 != 0) & (key % 11 == 0), "more"))
+        return self.table("customer").select(fields.alias("value"))
+
     def clusters(self) -> DataFrame:
         fourth = F.col("l_suppkey") % 4
         domain = F.when(fourth == 0, "aaid").when(fourth == 1, "idfa").otherwise(fourth.cast("string"))

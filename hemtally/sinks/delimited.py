@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 
 from hemtally.functions.dates import days_before
+from hemtally.sources.shared import WrittenOnce
 
 
 def write_delimited(
@@ -20,11 +21,14 @@ def write_delimited(
 ) -> None:
     """Write as text. AQE sizes the files; ``max_files`` caps their number.
 
-    The cap redistributes the finished rows. ``coalesce`` would instead run the whole last stage of the query, joins
+    With a cap the query first writes its rows to the shared folder, in as many tasks as AQE gives it for their size. At most ``max_files`` tasks turn
+    the stored files into text, each several of them, without a shuffle. ``coalesce`` on the query itself would run its whole last stage, joins
     and aggregates included, in that few tasks.
     """
     if max_files is not None:
-        df = df.repartition(max_files)
+        with WrittenOnce(df.toDF(*(f"c{n}" for n in range(len(df.columns)))), "sized") as rows:
+            write_delimited(rows.coalesce(max_files).toDF(*df.columns), path, sep, mode, header, compression)
+        return
     writer = df.write.mode(mode).option("sep", sep).option("header", header)
     if compression:
         writer = writer.option("compression", compression)

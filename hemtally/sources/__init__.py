@@ -1,7 +1,7 @@
 """Where the input comes from: delimited files, snapshot tables, warehouse queries."""
 
-from hemtally.sources.delimited import day_paths, malformed_rows, read_delimited
-from hemtally.sources.shared import WrittenOnce, remove_path, shared_path
+from hemtally.sources.delimited import day_paths, malformed_lines, malformed_rows, present_paths, read_delimited
+from hemtally.sources.shared import WrittenOnce, remove_path, settled, shared_path
 from hemtally.sources.snapshots import at_snapshot, latest_partition, latest_snapshot, latest_value
 from hemtally.sources.warehouse import jdbc_rows, query_rows
 
@@ -13,9 +13,12 @@ __all__ = [
     "latest_partition",
     "latest_snapshot",
     "latest_value",
+    "malformed_lines",
     "malformed_rows",
+    "present_paths",
     "query_rows",
     "read_delimited",
     "remove_path",
+    "settled",
     "shared_path",
 ]

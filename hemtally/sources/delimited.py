@@ -41,6 +41,31 @@ def malformed_rows(df: DataFrame, malformed: str) -> DataFrame:
     )
 
 
+def malformed_lines(df: DataFrame, malformed: str, sep: str = "\t") -> DataFrame:
+    """``[n_fields, n_lines, example]``: malformed lines by how many fields they have, with the smallest such line.
+
+    Counts the separators, quoted ones included.
+    """
+    line = F.col(malformed)
+    # Spark refuses a query of the malformed text alone; a field is never longer than its line.
+    length = F.greatest(F.length(line), F.length(F.col(df.columns[0])))
+    n_fields = length - F.length(F.replace(line, F.lit(sep), F.lit(""))) + 1
+    return df.filter(line.isNotNull()).groupBy(n_fields.alias("n_fields")).agg(F.count("*").alias("n_lines"), F.min(line).alias("example"))
+
+
+def present_paths(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The paths, wildcards allowed, that have something in them, and those that have nothing.
+
+    A day that was never delivered would otherwise fail the whole scan. Asks the file system once per path, so for days and not for files.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found, missing = [], []
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        (found if where.getFileSystem(conf).globStatus(where) else missing).append(path)
+    return found, missing
+
+
 def day_paths(base: str, first: date | str, last: date | str, below: str = "*/") -> list[str]:
     """One path per day of ``base/yyyy/MM/dd/<hour>/``, both ends included."""
     start, end = as_day(first), as_day(last)

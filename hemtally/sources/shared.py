@@ -20,6 +20,17 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settled(df: DataFrame, *paths: str) -> DataFrame:
+    """The rows as a checkpoint, after which the given paths are removed: for a result that was read from files of its own."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_path(spark, "checkpoints"))
+    kept = df.checkpoint()
+    for path in paths:
+        remove_path(spark, path)
+    return kept
+
+
 class WrittenOnce:
     """A result in the shared folder that several jobs read: lost executors cost no rerun. Leaving the block removes it."""
 

@@ -163,3 +163,24 @@ def test_sketch_stays_within_its_rank_error(spark):
         below = sum(size < value for size in sizes) / len(sizes)
         upto = sum(size <= value for size in sizes) / len(sizes)
         assert below - 0.0101 <= p <= upto + 0.0101
+
+
+@pytest.mark.parametrize("digits", [1, 3, 12])
+def test_summaries_certify_how_far_their_ranks_are_off(spark, digits):
+    r = random.Random(digits)
+    lists = ["|".join(f"{r.choice(['7', 'aaid', 'idfa'])}:{r.randrange(10**6)}" for _ in range(int(r.paretovariate(0.7)) % 900 + 1)) for _ in range(150)]
+    exact = by_key(pids_per_cluster(long_form(spark, lists)), "domain")
+    summary = by_key(pids_per_cluster(long_form(spark, lists).repartition(7), digits=digits), "domain")
+    sizes = defaultdict(list)
+    for tokens in lists:
+        for domain, n in Counter(token.split(":")[0] for token in tokens.split("|")).items():
+            sizes[domain].append(n)
+    assert summary.keys() == exact.keys()
+    for domain, row in summary.items():
+        assert (row["ct"], row["mean"]) == (exact[domain]["ct"], exact[domain]["mean"])
+        groups = sizes[domain] if domain in sizes else [n for d in sizes for n in sizes[d] if domain == "ALL" or d != "7"]
+        for name in NAMES:
+            low, high = exact[domain][name], row[name]
+            assert low <= high < low * (1 + 2 ** (1 - digits)) + 1
+            assert sum(low <= n < high for n in groups) <= round(row["rank_error"] * len(groups)) + 1
+        assert digits < 12 or (row["rank_error"], [row[n] for n in NAMES]) == (0, [exact[domain][n] for n in NAMES])

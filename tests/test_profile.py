@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from hemtally.operators import preview, profile_file
+from hemtally.operators import merged_profile, preview, profile_file, profile_sketches
 from helpers import rows
 
 
@@ -29,3 +29,18 @@ def test_column_names_with_dots(spark):
 
 def test_preview(spark):
     assert preview(spark.range(20)).count() == 5
+
+
+def test_distinct_counts_merge_over_days(spark):
+    df = spark.range(30_000).selectExpr(
+        "cast(id % 3 as string) as day", "cast(id % 20000 as string) as c0", "id % 7 as c1", "cast(null as string) as c2"
+    )
+    parts = [profile_sketches(df.filter(f"day = '{day}'"), "day") for day in range(3)]
+    merged = {r["column"]: r for r in merged_profile(parts[0].union(parts[1]).union(parts[2])).collect()}
+    assert {c: r["n_rows"] for c, r in merged.items()} == {"c0": 30_000, "c1": 30_000, "c2": 30_000}
+    for column, exact in (("c0", 20_000), ("c1", 7), ("c2", 0)):
+        assert merged[column]["n_least"] <= exact <= merged[column]["n_most"]
+    assert merged["c0"]["n_most"] - merged["c0"]["n_least"] < 20_000 * 0.06
+    twice = {r["column"]: r for r in merged_profile(parts[0].union(parts[0])).collect()}
+    assert twice["c0"]["n_least"] <= 10_000 <= twice["c0"]["n_most"]
+    assert merged_profile(profile_sketches(df.limit(0), "day")).collect() == []

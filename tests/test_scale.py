@@ -12,20 +12,23 @@ from pyspark.sql import functions as F
 from hemtally.operators import (
     audience_impressions,
     audience_members,
+    category_counts,
     cluster_report,
     convert_hashes,
     cookies_to_hashes,
+    daily_counts,
     explode_clusters,
     hash_match_counts,
     hashes_of_cookies,
     lookback,
     match_counts,
     match_flags,
+    matched_counts,
     pair_stats,
     pids_per_cluster,
     user_agent_counts,
 )
-from hemtally.operators.audience import flat_impressions
+from hemtally.operators.audience import USER_AGENT, flat_impressions
 from helpers import plan, rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -89,10 +92,25 @@ def raw_semi_joins(skewed):
         "hashes_of_cookies": hashes_of_cookies(keys.select(F.col("key").alias("cookie")), graph, "20240101"),
         "audience_impressions": audience_impressions(data, emails, RUN, snapshot="20240101"),
         "user_agent_counts": user_agent_counts(flat_impressions(lookback(data, RUN)), audience_members(emails, "20240101")),
+        # rows of equal texts would compress to a few KB
+        "category_counts": category_counts(lookback(data, RUN).withColumn("category_id", F.col("other")), audience_members(emails, "20240101")),
+        "daily_counts": daily_counts(flat_impressions(lookback(data, RUN)), USER_AGENT, audience_members(emails, "20240101")),
+        "matched_counts": matched_counts(flat_impressions(lookback(data, RUN)), audience_members(emails, "20240101")),
     }
 
 
-@pytest.mark.parametrize("name", ["convert_hashes", "hashes_of_cookies", "audience_impressions", "user_agent_counts"])
+@pytest.mark.parametrize(
+    "name",
+    [
+        "convert_hashes",
+        "hashes_of_cookies",
+        "audience_impressions",
+        "user_agent_counts",
+        "category_counts",
+        "daily_counts",
+        "matched_counts",
+    ],
+)
 def test_a_hot_key_is_split_and_nothing_is_lost(spark, skewed, conf, large_joins, name):
     split = raw_semi_joins(skewed)[name]
     assert "SortMergeJoin(skew=true)" in plan(split)
@@ -180,3 +198,18 @@ def test_default_log_window_prunes_days(spark, tmp_path):
     scan = next(line for line in plan(result).splitlines() if "FileScan parquet" in line)
     assert "PartitionFilters: [isnotnull(log_date" in scan and "Subquery" in scan
     assert rows(result) == [("h",)]
+
+
+def test_a_run_reads_and_meets_the_impressions_once(spark, skewed, large_joins):
+    data, keys = skewed
+    members = keys.select(F.col("key").alias("md5"))
+    text = plan(matched_counts(flat_impressions(lookback(data, RUN)), members))
+    assert text.count("FileScan") == 2 and text.count("SortMergeJoin") == 1
+
+
+def test_days_kept_as_text_are_pruned(spark, by_day, tmp_path):
+    by_day.withColumn("date_p", F.date_format("date_p", "yyyyMMdd")).write.partitionBy("date_p").parquet(str(tmp_path / "t"))
+    text_days = spark.read.schema(by_day.withColumn("date_p", F.lit("")).schema).parquet(str(tmp_path / "t"))
+    recent = user_agent_counts(flat_impressions(lookback(text_days, RUN, 2)))
+    assert rows(recent) == rows(user_agent_counts(flat_impressions(lookback(by_day, RUN, 2)))) != []
+    assert "PartitionFilters: [date_p" in plan(recent) and "IN (20240629,20240630)" in plan(recent)

@@ -14,12 +14,14 @@ from .shared import chunks, components, discard, stored, text_hash
 from .words import mix, shingle_sets
 
 #: Coordinates of a document's point.
-COORDINATES = 64
+COORDINATES = 256
 #: The logarithm of how many cells count the keys of all documents.
 CELL_BITS = 20
 #: Points in a leaf of the tree, and members of a bucket that one task joins at once; sets that one task compares with a common one.
 LEAF = 16
-BLOCK = 1024
+BLOCK = 512
+#: Members of a family of buckets that is joined as one; larger ones are joined bucket by bucket.
+FAMILY = 4096
 
 
 class Similarity:
@@ -141,7 +143,7 @@ def identity(s: np.ndarray) -> int | None:
 
 def point(s: np.ndarray) -> bytes:
     """How many elements fall into each of the groups."""
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=COORDINATES).astype("<u4").tobytes()
+    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=COORDINATES).astype("<u4").tobytes()
 
 
 def may_link(a: np.ndarray, b: np.ndarray, similarity: Similarity) -> np.ndarray:
@@ -282,8 +284,8 @@ def near_duplicates(
        keeps its rarest keys (`choose`), so that boilerplate brings nothing together that has rarer parts.
     2. Nodes that share a key form a bucket. Every node is compared with the smallest node that it meets in any bucket: by size and by the summed minima of
        their points, then exactly. These links make components. In buckets that still hold several, members are compared with the bucket's smallest one.
-    3. Buckets whose members even now lie in several components, each distinct set of members once, are joined inside by an R-tree over the
-       points; pairs within a component are skipped, what the bound leaves is verified exactly. The links of 2 and 3 make the components.
+    3. Buckets whose members even now lie in several components are joined inside by an R-tree over the points, those that overlap as one (`_families`);
+       pairs within a component are skipped, what the bound leaves is verified exactly. The links of 2 and 3 make the components.
 
     No pair of linked sets is lost: they share a bucket, and there either have one component or are compared. Nothing is capped; a group of
     near copies costs its members about once in 2, and pairs are made only across components in 3.
@@ -315,25 +317,42 @@ def near_duplicates(
     more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
     links = stored(links.unionByName(linked(more)), "links")
     held = _mixed(members, components(links))
-    again = held.groupBy("key").agg(
-        F.count("*").alias("c"), F.sum(F.xxhash64("sid") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("x")
-    )
-    again = stored(again.groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key"), "mixed")
-    inside = held.join(again, "key").join(nodes.select("sid", "point"), "sid").select("key", "sid", "label", "point")
+    inside = _families(held)
     known_pairs = tried.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = _across(inside, similarity).join(known_pairs, ["a", "b"], "left_anti")
+    rest = _across(inside.join(nodes.select("sid", "point"), "sid"), similarity).join(known_pairs, ["a", "b"], "left_anti")
     label = components(links.unionByName(linked(rest)))
 
     reached = nodes.join(label.withColumnRenamed("node", "sid"), "sid").groupBy("label").agg(F.min("least").alias("component"))
     reached = label.join(reached, "label").select(F.col("node").alias("sid"), "component")
     group = stored(nodes.join(reached, "sid", "left").select("sid", F.coalesce("component", "least").alias("component")), "groups")
-    for table in (nodes, members, tried, more, links, held, again):
+    for table in (nodes, members, tried, more, links, held, inside):
         discard(table)
     return described.join(group, "sid", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 
 
+def _families(held: DataFrame) -> DataFrame:
+    """(key, sid, label): groups in which any two members of a mixed bucket meet that have not met its smallest one only.
+
+    Near copies share many buckets of slightly different members. So buckets that have members in common are one group, as long as that has at most FAMILY
+    members; beyond, each bucket is a group, each distinct set of members once. A bucket of two has nothing left to compare.
+    """
+    once = held.groupBy("key").agg(
+        F.count("*").alias("c"), F.sum(F.xxhash64("sid") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("x")
+    )
+    once = stored(once.filter("c > 2").groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key"), "once")
+    rows = stored(held.join(once, "key").select("key", "sid", "low", "label"), "rows")
+    family = components(rows.filter("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))).toDF("sid", "family")
+    size = family.groupBy("family").agg(F.count("*").alias("size"))
+    family = stored(family.join(size, "family"), "family")
+    group = F.when(F.col("size") <= FAMILY, F.xxhash64("family", F.lit("family"))).otherwise(F.col("key"))
+    groups = stored(rows.join(family, "sid").select(group.alias("key"), "sid", "label").distinct(), "inside")
+    for table in (once, rows, family):
+        discard(table)
+    return groups
+
+
 def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
     """(key, sid, low, label, low_label) of the buckets whose members lie in several components."""
     of = label.select(F.col("node").alias("sid"), "label")

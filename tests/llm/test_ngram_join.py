@@ -65,7 +65,8 @@ def test_same_groups_as_brute_force(spark, seed, k, num):
     assert sorted(map(tuple, got), key=str) == brute(rows, k, num, 100)
 
 
-def test_large_buckets_are_dealt_into_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("family", [4096, 20])
+def test_large_buckets_are_dealt_into_blocks(spark, monkeypatch, family):
     """Chains of near copies whose ends do not link: buckets stay mixed and are joined inside."""
     r = random.Random(5)
     base = [f"x{i}" for i in range(150)]
@@ -76,6 +77,7 @@ def test_large_buckets_are_dealt_into_blocks(spark, monkeypatch):
             w[at] = f"y{i}_{at}"
         rows.append((i, " ".join(w), "s"))
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "FAMILY", family)
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA), 4, 70, 100).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 4, 70, 100)
 

@@ -283,7 +283,7 @@ def near_duplicates(
        and are one node from here on; counting them is combined before the shuffle. All documents' keys are counted in a table of fixed size, and every set
        keeps its rarest keys (`choose`), so that boilerplate brings nothing together that has rarer parts.
     2. Nodes that share a key form a bucket. Every node is compared with the smallest node that it meets in any bucket: by size and by the summed minima of
-       their points, then exactly. These links make components. In buckets that still hold several, members are compared with the bucket's smallest one.
+       their points, then exactly. These links make first components.
     3. Buckets whose members even now lie in several components are joined inside by an R-tree over the points, those that overlap as one (`_families`);
        pairs within a component are skipped, what the bound leaves is verified exactly. The links of 2 and 3 make the components.
 
@@ -313,19 +313,15 @@ def near_duplicates(
     tried = stored(first.select(F.col("sid").alias("a"), F.col("low").alias("b")), "tried")
     links = linked(tried)
     held = _mixed(members, components(links))
-    more = held.filter("sid <> low and label <> low_label").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
-    links = stored(links.unionByName(linked(more)), "links")
-    held = _mixed(members, components(links))
     inside = _families(held)
-    known_pairs = tried.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = _across(inside.join(nodes.select("sid", "point"), "sid"), similarity).join(known_pairs, ["a", "b"], "left_anti")
+    met = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = _across(inside.join(nodes.select("sid", "point"), "sid"), similarity).join(met, ["a", "b"], "left_anti")
     label = components(links.unionByName(linked(rest)))
 
     reached = nodes.join(label.withColumnRenamed("node", "sid"), "sid").groupBy("label").agg(F.min("least").alias("component"))
     reached = label.join(reached, "label").select(F.col("node").alias("sid"), "component")
     group = stored(nodes.join(reached, "sid", "left").select("sid", F.coalesce("component", "least").alias("component")), "groups")
-    for table in (nodes, members, tried, more, links, held, inside):
+    for table in (nodes, members, tried, links, held, inside):
         discard(table)
     return described.join(group, "sid", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
@@ -333,15 +329,15 @@ def near_duplicates(
 
 
 def _families(held: DataFrame) -> DataFrame:
-    """(key, sid, label): groups in which any two members of a mixed bucket meet that have not met its smallest one only.
+    """(key, sid, label): groups in which any two members of a mixed bucket meet.
 
     Near copies share many buckets of slightly different members. So buckets that have members in common are one group, as long as that has at most FAMILY
-    members; beyond, each bucket is a group, each distinct set of members once. A bucket of two has nothing left to compare.
+    members; beyond, each bucket is a group, each distinct set of members once.
     """
     once = held.groupBy("key").agg(
         F.count("*").alias("c"), F.sum(F.xxhash64("sid") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("x")
     )
-    once = stored(once.filter("c > 2").groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key"), "once")
+    once = stored(once.groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key"), "once")
     rows = stored(held.join(once, "key").select("key", "sid", "low", "label"), "rows")
     family = components(rows.filter("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))).toDF("sid", "family")
     size = family.groupBy("family").agg(F.count("*").alias("size"))
@@ -354,10 +350,9 @@ def _families(held: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, sid, low, label, low_label) of the buckets whose members lie in several components."""
-    of = label.select(F.col("node").alias("sid"), "label")
-    own = members.join(of, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    own = stored(own.join(of.toDF("low", "low_label"), "low", "left").withColumn("low_label", F.coalesce("low_label", "low")), "labelled")
+    """(key, sid, low, label) of the buckets whose members lie in several components."""
+    own = members.join(label.select(F.col("node").alias("sid"), "label"), "sid", "left")
+    own = stored(own.withColumn("label", F.coalesce("label", "sid")), "labelled")
     several = own.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("key")
     out = stored(own.join(stored(several, "several"), "key"), "held")
     discard(own)

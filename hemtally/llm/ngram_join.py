@@ -17,6 +17,8 @@ from .words import mix, shingle_sets
 COORDINATES = 256
 #: The logarithm of how many cells count the keys of all documents.
 CELL_BITS = 20
+#: The logarithm of how many marks tell the tasks whose sets are wanted: 4 MB.
+MARK_BITS = 25
 #: Points in a leaf of the tree, and members of a bucket that one task joins at once; sets that one task compares with a common one.
 LEAF = 16
 BLOCK = 512
@@ -130,9 +132,11 @@ def describe(documents: DataFrame, k: int, similarity: Similarity, id_col: str,
                 "point": [point(s) for s in sets],
             })
 
-    kind = documents.schema[id_col].dataType.simpleString()
-    rows = documents.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, th long, sid long, n long, keys array<array<long>>, point binary")
+    kind = documents.schema[id_col].dataType
+    # as text, since pandas makes whole numbers beside nulls floating
+    rows = documents.select(F.col(id_col).cast("string").alias("id"), text_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    done = rows.mapInPandas(run, "id string, th long, sid long, n long, keys array<array<long>>, point binary")
+    return done.withColumn("id", F.col("id").cast(kind))
 
 
 def identity(s: np.ndarray) -> int | None:
@@ -195,16 +199,16 @@ def verified(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, s
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     one = pairs.join(size, "b").select(F.col("a").alias("sid"), "b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("nth"))
     hub = size.select(F.col("b").alias("sid"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("nth"))
-    wanted = stored(one.unionByName(hub).join(nodes.select("sid", "rep"), "sid").select("rep.id", "rep.th", "sid", "b", "block", "nth"), "wanted")
-    texts = documents.select(F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_th"), F.col(text_col).alias("text"))
-    # a repeated row of a representative would only repeat a comparison
-    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).select("sid", "b", "block", "nth", "text")
+    wanted = one.unionByName(hub).join(nodes.select("sid", "rep"), "sid")
+    wanted = stored(wanted.select(F.xxhash64("rep.id").alias("ih"), F.col("rep.th").alias("th"), "sid", "b", "block", "nth"), "wanted")
+    marks = documents.sparkSession.sparkContext.broadcast(marked(wanted.select("ih", "th").distinct()))
+    texts = documents.select(F.xxhash64(id_col).alias("ih"), text_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
 
     def make(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in chunks(frames, "text"):
-            first = rows.drop_duplicates("sid")
-            made = dict(zip(first["sid"], (s.tobytes() for s in shingle_sets(first["text"].tolist(), k))))
-            yield rows[["b", "block", "nth", "sid"]].assign(s=rows["sid"].map(made))
+        for frame in frames:
+            at = _cells(frame)
+            for rows in chunks([frame[(marks.value[at >> 3] >> (at & 7) & 1).astype(bool)]], "text"):
+                yield rows[["ih", "th"]].assign(s=[s.tobytes() for s in shingle_sets(rows["text"].tolist(), k)])
 
     def check(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, own = None, None
@@ -222,9 +226,44 @@ def verified(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, s
                     found.append((a, now))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    sets = texts.mapInPandas(make, "b long, block int, nth int, sid long, s binary")
+    # a repeated row of a representative would only repeat a comparison
+    sets = texts.mapInPandas(make, "ih long, th long, s binary").join(wanted, ["ih", "th"]).select("b", "block", "nth", "sid", "s")
     sets = sets.repartition("b", "block").sortWithinPartitions("b", "block", "nth")
-    return stored(sets.mapInPandas(check, "a long, b long").distinct(), "verified")
+    links = stored(sets.mapInPandas(check, "a long, b long").distinct(), "verified")
+    for table in (pairs, wanted):
+        discard(table)
+    return links
+
+
+def _cells(rows: pd.DataFrame) -> np.ndarray:
+    """Which mark stands for a representative, by the hashes of its id and text."""
+    both = rows["ih"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rows["th"].to_numpy(np.int64).view(np.uint64)
+    return (mix(both) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
+def marked(wanted: DataFrame) -> np.ndarray:
+    """2 ** MARK_BITS marks, one for each (ih, th): of fixed size, whatever the input. What has no mark is not wanted, so its set is neither made nor sent."""
+    size, chunk = 1 << (MARK_BITS - 3), 1 << (MARK_BITS - 9)
+
+    def mark(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks = np.zeros(size << 3, bool)
+        for rows in frames:
+            marks[_cells(rows)] = True
+        data = np.packbits(marks, bitorder="little")
+        for i in range(0, size, chunk):
+            if data[i : i + chunk].any():
+                yield pd.DataFrame({"chunk": [i], "some": [TaskContext.get().partitionId() % 32], "marks": [data[i : i + chunk].tobytes()]})
+
+    def either(rows: pd.DataFrame) -> pd.DataFrame:
+        data = np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in rows["marks"]])
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "marks": [data.tobytes()]})
+
+    found = wanted.mapInPandas(mark, "chunk int, some int, marks binary")
+    found = found.groupBy("chunk", "some").applyInPandas(either, "chunk int, marks binary").groupBy("chunk").applyInPandas(either, "chunk int, marks binary")
+    out = np.zeros(size, np.uint8)
+    for r in found.collect():  # 2 ** MARK_BITS bits
+        out[r["chunk"] : r["chunk"] + chunk] = np.frombuffer(r["marks"], np.uint8)
+    return out
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
@@ -283,7 +322,8 @@ def near_duplicates(
        and are one node from here on; counting them is combined before the shuffle. All documents' keys are counted in a table of fixed size, and every set
        keeps its rarest keys (`choose`), so that boilerplate brings nothing together that has rarer parts.
     2. Nodes that share a key form a bucket. Every node is compared with the smallest node that it meets in any bucket: by size and by the summed minima of
-       their points, then exactly. These links make first components.
+       their points, then exactly. These links make components. In buckets that still hold several, members are compared with the bucket's smallest one.
+       Sets are made again from the texts that are wanted, and only they are shuffled.
     3. Buckets whose members even now lie in several components are joined inside by an R-tree over the points, those that overlap as one (`_families`);
        pairs within a component are skipped, what the bound leaves is verified exactly. The links of 2 and 3 make the components.
 
@@ -313,15 +353,19 @@ def near_duplicates(
     tried = stored(first.select(F.col("sid").alias("a"), F.col("low").alias("b")), "tried")
     links = linked(tried)
     held = _mixed(members, components(links))
+    more = held.filter("sid <> low and label <> low_label").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
+    more = stored(more.join(tried, ["a", "b"], "left_anti"), "more")
+    links = stored(links.unionByName(linked(more)), "links")
+    held = _mixed(members, components(links))
     inside = _families(held)
-    met = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = _across(inside.join(nodes.select("sid", "point"), "sid"), similarity).join(met, ["a", "b"], "left_anti")
+    known_pairs = tried.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = _across(inside.join(nodes.select("sid", "point"), "sid"), similarity).join(known_pairs, ["a", "b"], "left_anti")
     label = components(links.unionByName(linked(rest)))
 
     reached = nodes.join(label.withColumnRenamed("node", "sid"), "sid").groupBy("label").agg(F.min("least").alias("component"))
     reached = label.join(reached, "label").select(F.col("node").alias("sid"), "component")
     group = stored(nodes.join(reached, "sid", "left").select("sid", F.coalesce("component", "least").alias("component")), "groups")
-    for table in (nodes, members, tried, links, held, inside):
+    for table in (nodes, members, tried, more, links, held, inside):
         discard(table)
     return described.join(group, "sid", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
@@ -329,15 +373,15 @@ def near_duplicates(
 
 
 def _families(held: DataFrame) -> DataFrame:
-    """(key, sid, label): groups in which any two members of a mixed bucket meet.
+    """(key, sid, label): groups in which any two members of a mixed bucket meet that have not met its smallest one only.
 
     Near copies share many buckets of slightly different members. So buckets that have members in common are one group, as long as that has at most FAMILY
-    members; beyond, each bucket is a group, each distinct set of members once.
+    members; beyond, each bucket is a group, each distinct set of members once. A bucket of two has nothing left to compare.
     """
     once = held.groupBy("key").agg(
         F.count("*").alias("c"), F.sum(F.xxhash64("sid") % (1 << 40)).alias("s"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("x")
     )
-    once = stored(once.groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key"), "once")
+    once = stored(once.filter("c > 2").groupBy("c", "s", "x").agg(F.min("key").alias("key")).select("key"), "once")
     rows = stored(held.join(once, "key").select("key", "sid", "low", "label"), "rows")
     family = components(rows.filter("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))).toDF("sid", "family")
     size = family.groupBy("family").agg(F.count("*").alias("size"))
@@ -350,9 +394,10 @@ def _families(held: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, sid, low, label) of the buckets whose members lie in several components."""
-    own = members.join(label.select(F.col("node").alias("sid"), "label"), "sid", "left")
-    own = stored(own.withColumn("label", F.coalesce("label", "sid")), "labelled")
+    """(key, sid, low, label, low_label) of the buckets whose members lie in several components."""
+    of = label.select(F.col("node").alias("sid"), "label")
+    own = members.join(of, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    own = stored(own.join(of.toDF("low", "low_label"), "low", "left").withColumn("low_label", F.coalesce("low_label", "low")), "labelled")
     several = own.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("key")
     out = stored(own.join(stored(several, "several"), "key"), "held")
     discard(own)

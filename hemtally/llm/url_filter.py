@@ -91,14 +91,43 @@ def path_templates(
     return tree
 
 
+def template_shares(tree: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(host, template, block_share, own_labels) of the templates of `path_templates`.
+
+    On the way from the host's root down to the template, each node's share of blocked labels is smoothed by `prior` labels' worth of the share above
+    it, so a template without labels has the share of its nearest parent with some. Above the root stands the share of the same template on other
+    hosts; where that has no labels, the root's own share, and where the host has none either, nothing: null.
+    """
+    own = tree.groupBy("host", "template").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    own = stored(own, "own")
+    level = F.explode(F.sequence(F.lit(0), F.size("template"))).alias("level")
+    nodes = own.select("host", "template", "allow", "block", level).groupBy("host", F.slice("template", F.lit(1), F.col("level")).alias("node"))
+    nodes = stored(nodes.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "nodes")
+    way = own.select("host", "template", level).withColumn("node", F.slice("template", F.lit(1), F.col("level"))).join(nodes, ["host", "node"])
+    way = way.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("level", "allow", "block"))).alias("way"))
+    everywhere = own.groupBy("template").agg(F.sum("allow").alias("all_allow"), F.sum("block").alias("all_block"))
+    known = own.join(stored(everywhere, "everywhere"), "template").join(way, ["host", "template"])
+    others = F.col("all_allow") + F.col("all_block") - F.col("allow") - F.col("block")
+    elsewhere = (F.col("all_block") - F.col("block")) / F.nullif(others, F.lit(0))
+
+    def down(share: Column, node: Column) -> Column:
+        n = node["allow"] + node["block"]
+        return F.when(n == 0, share).when(share.isNull(), node["block"] / n).otherwise((node["block"] + prior * share) / (n + prior))
+
+    root = F.get("way", F.lit(0))
+    return known.select(
+        "host", "template", F.aggregate("way", elsewhere.cast("double"), down).alias("block_share"), (root["allow"] + root["block"] > 0).alias("own_labels")
+    )
+
+
 def judge_urls(
     pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", depth: int = DEPTH, prior: float = PRIOR, reject: float = REJECT
 ) -> DataFrame:
-    """Per page: id, host, path, rule, verdict, template and block_share.
+    """Per page: id, host, path, rule, verdict, template, block_share and own_labels.
 
     Urls that a rule fits have its verdict and are the labels. Every other url has that of its host's path template: block if the template's share of
-    blocked labels reaches `reject`, smoothed towards the same template over all hosts (`prior` labels' worth), and that towards the share of
-    all labels. A null url or one without :// has an empty host and path; without any label everything else is allowed. One row per row.
+    blocked labels reaches `reject`, smoothed as `template_shares` says; own_labels tells whether labels of its own host speak. Without a label
+    on that way the share is null and the url is allowed. A null url or one without :// has an empty host and path. One row per row.
 
     What is grouped are hosts with path shapes, counted before the shuffle; a host with a third of all pages is spread by its paths, and
     its tree's nodes are partial sums. The two joins back meet written tables, so adaptive execution can split a hot side.
@@ -111,17 +140,9 @@ def judge_urls(
         F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block")
     )
     tree = path_templates(counts, depth)
-    own = tree.groupBy("host", "template").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    everywhere = own.groupBy("template").agg(F.sum("allow").alias("ea"), F.sum("block").alias("eb"))
-    overall = own.agg(F.sum("allow").alias("a"), F.sum("block").alias("b")).select(F.coalesce(F.col("b") / F.nullif(F.col("a") + F.col("b"), F.lit(0)), F.lit(0.0)).alias("share"))
-    everywhere = everywhere.join(overall, F.lit(True)).select(
-        "template", ((F.col("eb") + prior * F.col("share")) / (F.col("ea") + F.col("eb") + prior)).alias("expected")
-    )  # one row on the right side
-    purity = own.join(stored(everywhere, "expected"), "template").select(
-        "host", "template", ((F.col("block") + prior * F.col("expected")) / (F.col("allow") + F.col("block") + prior)).alias("block_share")
-    )
+    purity = stored(template_shares(tree, prior), "shares")
     known = stored(tree.select("host", "parts", "template").join(purity, ["host", "template"]), "purity")
     judged = rows.join(known, ["host", "parts"])
     decided = F.coalesce("ruled", F.when(F.col("block_share") >= reject, "block").otherwise("allow"))
     template = F.concat(F.lit("/"), F.array_join("template", "/"))
-    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", decided.alias("verdict"), template.alias("template"), "block_share")
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", decided.alias("verdict"), template.alias("template"), "block_share", "own_labels")

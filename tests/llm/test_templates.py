@@ -1,0 +1,58 @@
+"""Shares of blocked labels along a host's tree against a plain version."""
+
+import random
+from collections import defaultdict
+
+import pytest
+
+from hemtally.llm import url_filter
+
+PRIOR = 5.0
+
+
+def brute(rows):
+    """{(host, template): (share, own labels)}; `rows`: (host, template, allow, block)."""
+    nodes, everywhere, own = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for host, template, *labels in rows:
+        for level in range(len(template) + 1):
+            for k in (0, 1):
+                nodes[host, template[:level]][k] += labels[k]
+        for k in (0, 1):
+            everywhere[template][k] += labels[k]
+            own[host, template][k] += labels[k]
+    out = {}
+    for host, template in own:
+        allow, block = (everywhere[template][k] - own[host, template][k] for k in (0, 1))
+        share = block / (allow + block) if allow + block else None
+        for level in range(len(template) + 1):
+            a, b = nodes[host, template[:level]]
+            if a + b:
+                share = b / (a + b) if share is None else (b + PRIOR * share) / (a + b + PRIOR)
+        out[host, template] = (share, sum(nodes[host, ()]) > 0)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shares_come_from_the_hosts_own_tree_first(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for _ in range(120):
+        template = tuple(r.choice("ab*") for _ in range(r.randint(0, 4)))
+        labelled = r.random() < 0.4
+        rows.append((r.choice(["h1", "h2", "h3", "h4"]) if labelled else r.choice(["h1", "h4", "h5", "h6"]), template, *((r.randint(0, 9), r.randint(0, 9)) if labelled else (0, 0))))
+    tree = spark.createDataFrame([(h, list(t), a, b) for h, t, a, b in rows], "host string, template array<string>, allow long, block long")
+    got = {(x["host"], tuple(x["template"])): (x["block_share"], x["own_labels"]) for x in url_filter.template_shares(tree, PRIOR).collect()}
+    expected = brute(rows)
+    assert got.keys() == expected.keys()
+    for key, (share, own) in expected.items():
+        assert got[key][1] == own and (got[key][0] is None) == (share is None) and (share is None or abs(got[key][0] - share) < 1e-12)
+
+
+def test_verdicts_follow_the_nearest_labels(spark):
+    urls = [*(f"http://spam.com/de/{i}" for i in range(40)), "http://spam.com/en/1", *(f"http://fine.com/fr/{i}" for i in range(40)), "http://fine.com/en/1",
+            "http://nobody.net/xx/1", "http://nobody.net/de/3"]
+    got = {x["host"] + x["path"]: x for x in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    verdicts = {k: (x["verdict"], x["own_labels"]) for k, x in got.items()}
+    assert verdicts["spam.com/en/1"] == ("block", True) and verdicts["fine.com/en/1"] == ("allow", True)
+    assert verdicts["nobody.net/xx/1"] == ("allow", False) and got["nobody.net/xx/1"]["block_share"] is None
+    assert verdicts["nobody.net/de/3"] == ("block", False)

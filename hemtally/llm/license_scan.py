@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,6 +80,98 @@ TEXTS = [
     ("public-domain", "public domain", r"(?:released|placed|dedicated)(?: in)?to the public domain|(?:is|are) in the public domain"),
     ("proprietary", "all rights reserved", r"all rights reserved"),
     ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
+    ("mit", "above copyright notice and this permission", r"the above copyright notice and this permission notice shall be included in all copies"),
+    ("mit", "to deal in the software", r"to deal in the software without restriction, including without limitation the rights to use"),
+    ("x11", "x consortium", r"except as contained in this notice, the name of the x consortium shall not be used in advertising"),
+    ("isc", "the software is provided", r"the software is provided \"as is\" and the author disclaims all warranties"),
+    ("isc", "isc disclaims", r"isc disclaims all warranties with regard to this software"),
+    ("0bsd", "permission to use", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\.? the software"),
+    ("bsd", "redistributions of source", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "endorse or promote", r"may(?: not)? be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "this product includes software developed by", r"this product includes software developed by"),
+    ("bsd-clear", "no express or implied licenses", r"no express or implied licenses to any party's patent rights are granted"),
+    ("apache", "apache", r"licensed to the apache software foundation \(asf\) under one or more contributor licen[cs]e agreements"),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    ("apache-2.0", "work and derivative works thereof", r"work and derivative works thereof"),
+    ("gpl-3.0", "free software foundation", r"as published by the free software foundation[;,] (?:either )?version 3"),
+    ("gpl-2.0", "free software foundation", r"as published by the free software foundation[;,] (?:either )?version 2"),
+    ("gpl", "you should have received a copy", r"you should have received a copy of the gnu general public licen[cs]e"),
+    ("lgpl", "you should have received a copy", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl", "you should have received a copy", r"you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("gpl", "preamble", r"preamble the licen[cs]es for most software are designed to take away your freedom"),
+    ("gpl-exception", "runtime library exception|classpath exception|linking exception", r"(?:gcc runtime library|classpath|linking) exception"),
+    ("lgpl", "combined work", r"you may convey a combined work under terms of your choice"),
+    ("agpl", "remote network interaction", r"remote network interaction; use with the gnu general public licen[cs]e"),
+    ("gfdl", "invariant sections", r"with no invariant sections, no front-cover texts,? and no back-cover texts"),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public licen[cs]e version 1\.1"),
+    ("mpl", "incompatible with secondary", r"incompatible with secondary licen[cs]es"),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("epl", "agreement steward", r"the eclipse foundation is the initial agreement steward"),
+    ("cpl", "accompanying materials", r"accompanying materials are made available under the terms of the common public"),
+    ("ipl", "ibm public licen", r"ibm public licen[cs]e(?: version 1\.0)?"),
+    ("cddl", "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution"),
+    ("artistic", "freely available", r"place your modifications in the public domain or otherwise make them freely available"),
+    ("artistic-2.0", "standard version", r"you are permitted to use the standard version and create and use modified versions for any purpose"),
+    ("artistic", "same terms as perl", r"under the same terms as perl(?: itself)?"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such"),
+    ("libpng", "libpng licen|png reference library", r"(?:libpng|png reference library) licen[cs]e"),
+    ("bsl-1.0", "machine-executable", r"solely in the form of machine-executable object code generated by a source language processor"),
+    ("unlicense", "anyone is free to copy", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("cc0-1.0", "waive", r"has waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", "affirmer", r"affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives"),
+    ("cc-by", "appropriate credit", r"you must give appropriate credit, provide a link to the licen[cs]e"),
+    ("cc-by-sa", "same license as the original", r"you must distribute your contributions under the same license as the original"),
+    ("cc-by-nc", "commercial purposes", r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", "modified material", r"you may not distribute the modified material"),
+    ("cc-by-sa", "wikipedia", r"text is available under the creative commons attribution-share-?alike licen[cs]e"),
+    ("ofl-1.1", "reserved font name", r"no modified version of the font software may use the reserved font name"),
+    ("ofl", "with reserved font name", r"with reserved font name"),
+    ("odbl", "open database", r"this .{1,60}? is made available under the open database"),
+    ("odc-by", "open data commons attribution", r"open data commons attribution licen[cs]e"),
+    ("pddl", "public domain dedication and licen", r"(?:open data commons )?public domain dedication and licen[cs]e"),
+    ("ogl-uk", "open government licen", r"open government licen[cs]e(?: v?[123]\.0)?"),
+    ("etalab", "licence ouverte", r"licence ouverte(?:/open licence)?"),
+    ("psf", "for python", r"psf licen[cs]e agreement for python"),
+    ("php", "php licen", r"php licen[cs]e(?:,? version 3\.0?1)?"),
+    ("php", "this product includes php", r"this product includes php software, freely available from"),
+    ("ruby", "ruby's licen", r"ruby's licen[cs]e"),
+    ("vim", "vim licen", r"vim licen[cs]e"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project|openssl licen[cs]e"),
+    ("ssleay", "eric young", r"this product includes cryptographic software written by eric young"),
+    ("curl", "curl licen", r"curl licen[cs]e"),
+    ("ncsa", "illinois/ncsa", r"university of illinois/ncsa open source licen[cs]e"),
+    ("ntp", "university of delaware", r"the university of delaware makes no representations about the suitability"),
+    ("hpnd", "historical permission", r"historical permission notice and disclaimer"),
+    ("postgresql", "postgresql", r"postgresql licen[cs]e"),
+    ("sleepycat", "sleepycat", r"sleepycat (?:public )?licen[cs]e"),
+    ("qpl", "q public", r"q public licen[cs]e"),
+    ("ms-pl", "microsoft public", r"microsoft public licen[cs]e"),
+    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[cs]e"),
+    ("wxwindows", "wxwindows", r"wxwindows library licen[cs]e"),
+    ("upl", "universal permissive", r"universal permissive licen[cs]e"),
+    ("eupl", "licensed under the eupl", r"licensed under the eupl"),
+    ("mulan", "mulan", r"mulan (?:permissive software|psl)"),
+    ("blueoak", "blue oak", r"blue oak model licen[cs]e"),
+    ("sspl", "server side public", r"server side public licen[cs]e"),
+    ("elastic", "elastic licen", r"elastic licen[cs]e(?: 2\.0)?"),
+    ("busl", "business source", r"business source licen[cs]e"),
+    ("commons-clause", "commons clause", r"commons clause(?: licen[cs]e condition)?"),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|shield|strict|perimeter) licen[cs]e"),
+    ("openrail", "openrail", r"(?:creativeml |bigscience |bigcode )?openrail(?:-m|\+\+)?"),
+    ("llama", "community license agreement", r"llama [23](?:\.[0-9])? community license agreement"),
+    ("beerware", "beer-ware|beerware", r"the beer-ware licen[cs]e|beerware licen[cs]e"),
+    ("json", "good, not evil", r"the software shall be used for good, not evil"),
+    ("afl", "academic free", r"licensed under the academic free licen[cs]e"),
+    ("osl", "open software licen", r"licensed under the open software licen[cs]e"),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|use|distribution)(?:,? or (?:copying|reproduction|use|distribution))? of this (?:file|software|document) is (?:strictly )?prohibited"),
+    ("proprietary", "trade secret", r"(?:contains|constitutes?) (?:confidential information and )?trade secrets? of"),
+    ("proprietary", "end user licen", r"end user licen[cs]e agreement"),
+    ("proprietary", "may not be reproduced", r"may not be reproduced(?:, distributed)?(?:,? or transmitted)? in any form"),
+    ("proprietary", "prior written", r"without (?:the )?(?:express )?prior written (?:permission|consent) of the (?:publisher|author|copyright holder)"),
+    ("dual-license", "dual", r"(?:dual[- ]licensed|dually licensed) under"),
     ("unknown-license", "licen", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?\w[\w.+-]{0,30}(?: \w[\w.+-]{0,30}){0,3} licen[cs]e"),
 ]
 
@@ -138,25 +232,60 @@ def flat(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(parts) + text[done:], at, ends
 
 
+@cache
+def _prefilter() -> tuple[ahocorasick.Automaton, list[list[int]]]:
+    """What finds all keywords in one pass over a text, and the rules of each."""
+    rules_of: dict[str, list[int]] = {}
+    for order, (_, _, keywords, _, _) in enumerate(rules()):
+        for k in keywords:
+            rules_of.setdefault(k, []).append(order)
+    automaton = ahocorasick.Automaton()
+    for i, k in enumerate(rules_of):
+        automaton.add_word(k, i)
+    automaton.make_automaton()
+    return automaton, list(rules_of.values())
+
+
+def standing(found: list[tuple[int, int, int, int, str, float]]) -> list[tuple[int, int, int, str, float]]:
+    """(start, end, priority, label, weight) of the detections that stand; `found`: (priority, start, -end, order, label, weight).
+
+    Priority by priority: what overlaps a better one that stands is out by a look at those' merged intervals. Of the rest what lies inside another is out
+    by the furthest end so far, as starts go up; of equal intervals the first rule's stands. So the time is that of sorting.
+    """
+    stands: list[tuple[int, int, int, str, float]] = []
+    covered: list[tuple[int, int]] = []
+    for priority, same in itertools.groupby(sorted(found), key=lambda x: x[0]):
+        begins, far, new = [s for s, _ in covered], -1, []
+        for _, start, end, _, label, weight in same:
+            i = bisect_left(begins, -end) - 1  # the last interval that begins before this one's end
+            if -end > far and not (i >= 0 and covered[i][1] > start):
+                far = -end
+                new.append((start, far, priority, label, weight))
+        stands += new
+        merged: list[tuple[int, int]] = []
+        for s, e in sorted([*covered, *((s, e) for s, e, *_ in new)]):
+            if merged and s <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
+            else:
+                merged.append((s, e))
+        covered = merged
+    return stands
+
+
 def detections(lower: str) -> list[tuple[int, int, str, float]]:
     """(start, end, label, weight) of the detections that stand, by start.
 
-    Rules run in their order on the flat text, each only if one of its keywords occurs. Taken by priority, then longer first, then earlier: a
-    detection falls that lies inside one that stands, or overlaps one of a better priority.
+    Rules run on the flat text, each only if one of its keywords occurs. A detection falls that lies inside one that stands, or overlaps one of a
+    better priority.
     """
     text, at, ends = flat(lower)
-    here: dict[tuple[str, ...], bool] = {}
+    automaton, by_keyword = _prefilter()
+    wanted = sorted({order for _, k in automaton.iter(text) for order in by_keyword[k]})
     found = []
-    for order, (priority, label, keywords, pattern, weight) in enumerate(rules()):
-        if keywords not in here:
-            here[keywords] = any(k in text for k in keywords)
-        if here[keywords]:
-            found += [(priority, m.start() - m.end(), m.start(), order, m.end(), label, weight) for m in pattern.finditer(text)]
-    stands: list[tuple[int, int, int, str, float]] = []
-    for priority, _, start, _, end, label, weight in sorted(found):
-        clash = any((s <= start and end <= e) or (start < e and s < end and p < priority) for s, e, p, _, _ in stands)
-        if not clash:
-            stands.append((start, end, priority, label, weight))
+    for order in wanted:
+        priority, label, _, pattern, weight = rules()[order]
+        found += [(priority, m.start(), -m.end(), order, label, weight) for m in pattern.finditer(text)]
+    stands = standing(found)
 
     def place(i: int) -> int:
         gaps = bisect_left(at, i)

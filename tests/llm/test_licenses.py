@@ -1,6 +1,7 @@
 """License rules on texts that hold nothing else."""
 
 import random
+import time
 from re import _parser
 
 import pytest
@@ -109,3 +110,33 @@ def test_wrapped_texts_have_their_labels_and_places(text, labels, mark):
 def test_a_list_after_a_name_gives_no_version():
     for text in ("Apache License\n\n   1. Definitions.\n2. Grant", "under the GPL\n 3) more", "# EPL\n# 2. more"):
         assert all("-" not in x[2] for x in license_scan.detections(text.lower()))
+
+
+def plain_standing(found):
+    """Every detection against all that stand, by priority, then longer first, then earlier, then the rules' order."""
+    stands = []
+    for p, start, end, order, *rest in sorted(found, key=lambda x: (x[0], x[1] + x[2], x[1], x[3])):
+        end = -end
+        if not any((s <= start and end <= e) or (start < e and s < end and q < p) for s, e, q, *_ in stands):
+            stands.append((start, end, p, *rest))
+    return stands
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_suppression_is_that_of_a_plain_version(seed):
+    r = random.Random(seed)
+    found = []
+    for order in range(r.randint(0, 60)):
+        start = r.randrange(80)
+        found.append((r.randrange(4), start, -(start + r.randint(1, 25)), order, f"l{order}", 0.5))
+    assert sorted(license_scan.standing(found)) == sorted(plain_standing(found))
+
+
+def test_a_hundred_thousand_mentions_take_seconds():
+    begin = time.monotonic()
+    found = license_scan.detections("mit license and " * 100_000)
+    assert len(found) == 100_000 and time.monotonic() - begin < 20
+
+
+def test_signatures_are_hundreds():
+    assert len(license_scan.TEXTS) > 100 and len(license_scan.rules()) > 500

@@ -37,7 +37,8 @@ _SHAPES = {
 _EDGES = "\"'`()[]{}<>.,;:!?*#$%&|="
 #: What is cut off before a value: all edges, but not the bracket of an area code.
 _LEAD = r"^(?:(?!\([0-9]++\)\s*+[0-9])[\"'`()\[\]{}<>.,;:!?*#$%&|=])*+"
-_RUN = 512
+#: Long arrays are worked on in runs of so many, and those in shorter ones.
+_RUN, _FEW = 128, 8
 ROUNDS, LEAST_SEEDS, TRUST, PRIOR = 3, 3, 0.7, 2.0
 
 
@@ -57,8 +58,11 @@ def _spans(text: Column, matches: Column, between: Column) -> Column:
         return F.aggregate(some, begin, step, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))
 
     pairs = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, p: F.struct(m.alias("value"), p.alias("between")))
-    begins = F.sequence(F.lit(1), F.greatest(F.size(matches), F.lit(1)), F.lit(_RUN))
-    return F.aggregate(F.transform(begins, lambda i: F.slice(pairs, i, F.lit(_RUN))), start, run, lambda acc: acc["out"])
+    def runs(all_pairs: Column) -> Column:
+        begins = F.sequence(F.lit(1), F.greatest(F.size(all_pairs), F.lit(1)), F.lit(_RUN))
+        return F.aggregate(F.transform(begins, lambda i: F.slice(all_pairs, i, F.lit(_RUN))), start, run, lambda acc: acc["out"])
+
+    return F.get(F.transform(F.array(pairs), runs), F.lit(0))  # the pairs are made once
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -114,9 +118,9 @@ def _candidates(documents: DataFrame) -> DataFrame:
         lead = F.length(F.regexp_extract(value, _LEAD, 0))
         return F.struct((start + lead).alias("start"), F.rtrim(F.substring(value, lead + 1, F.length(value)), F.lit(_EDGES)).alias("value"))
 
-    def described(t: Column, patterns: Column) -> Column:
+    def described(t: Column, patterns: Column, base: Column) -> Column:
         end = t["start"] + F.length(t["value"])
-        under = F.filter("base", lambda b: (b["start"] < end) & (b["end"] > t["start"]))
+        under = F.filter(base, lambda b: (b["start"] < end) & (b["end"] > t["start"]))
         seed = F.get(under, F.lit(0))["kind"]
         return F.struct(t["start"].alias("start"), end.alias("end"), t["value"].alias("value"), seed.alias("seed"), patterns.alias("patterns"))
 
@@ -130,21 +134,35 @@ def _candidates(documents: DataFrame) -> DataFrame:
 
     looks = [lambda value, k=k: value.rlike(_SHAPES[k]) for k in KINDS]
 
-    def words(run: Column) -> Column:
+    def words(run: Column, base: Column) -> Column:
         value, own = run["value"], run["looks"]
         parts = _spans(value, F.regexp_extract_all(value, F.lit(r"\S++"), F.lit(0)), F.split(value, r"\S++", -1))
         parts = F.transform(parts, lambda x: trimmed(run["start"] + x["start"], x["value"]))
         fits = F.filter(parts, lambda x: reduce(or_, [f(x["value"]) & ~F.get(own, F.lit(k)) for k, f in enumerate(looks)]))
-        inner = F.filter(F.transform(fits, lambda x: described(x, run["patterns"])), lambda x: x["seed"].isNull())
-        whole = F.array(described(run, run["patterns"]))
+        inner = F.filter(F.transform(fits, lambda x: described(x, run["patterns"], base)), lambda x: x["seed"].isNull())
+        whole = F.array(described(run, run["patterns"], base))
         return F.when(value.rlike(r"\s"), F.concat(whole, inner)).otherwise(whole)
 
+    def blocks(runs: Column, base: Column, size: int) -> Column:
+        """The runs in blocks of `size`, each with the base spans that it touches, so that no run looks at all of a long text's."""
+        begins = F.when(F.size(runs) > 0, F.sequence(F.lit(1), F.size(runs), F.lit(size))).otherwise(F.expr("cast(array() as array<int>)"))
+
+        def touched(block: Column) -> Column:
+            first, last = F.get(block, F.lit(0)), F.element_at(block, -1)
+            near = F.filter(base, lambda b: (b["start"] < last["start"] + F.length(last["value"])) & (b["end"] > first["start"]))
+            return F.struct(block.alias("runs"), near.alias("base"))
+
+        return F.transform(F.transform(begins, lambda i: F.slice(runs, i, F.lit(size))), touched)
+
     def run(t: Column, i: Column) -> Column:
         return F.struct(t["start"].alias("start"), t["value"].alias("value"), F.array(*[f(t["value"]) for f in looks]).alias("looks"), contexts(i).alias("patterns"))
 
     runs = F.transform(F.transform("w", lambda s: trimmed(s["start"], s["value"])), run)
     matched = matched.withColumn("runs", F.filter(runs, lambda s: F.length(s["value"]) > 0))
-    return matched.withColumn("seen", F.flatten(F.transform("runs", words))).drop("m", "p", "w", "runs")
+    matched = matched.withColumn("large", blocks(F.col("runs"), F.col("base"), _RUN))
+    matched = matched.withColumn("small", F.flatten(F.transform("large", lambda x: blocks(x["runs"], x["base"], _FEW))))
+    seen = F.transform("small", lambda x: F.flatten(F.transform(x["runs"], lambda r: words(r, x["base"]))))
+    return matched.withColumn("seen", F.flatten(seen)).drop("m", "p", "w", "runs", "large", "small")
 
 
 def trusted_patterns(

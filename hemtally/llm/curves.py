@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
@@ -43,7 +44,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def _vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows that take part: id and all components there and finite, not all zero."""
-    v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("float"))
+    v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     rows = table.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
@@ -58,7 +59,7 @@ def nearest(
     curves: int = 12,
     dimensions: int = 6,
     bits: int = 8,
-    share: float = 0.1,
+    share: float = 0.125,
     most_rows: int = 16_384,
     fit_rows: int = 20_000,
     seed: int = 7,
@@ -67,21 +68,20 @@ def nearest(
 
     Each of `curves` projections turns the vectors at random, keeps `dimensions` coordinates, scales them by the spread of `fit_rows` sampled
     rows (the smallest hashes of their ids; all that reaches the driver), shifts them at random and orders all rows on a Hilbert curve.
-    A range partitioning gives every row its rank on every curve; ranks are cut into buckets of equal size, at most `most_rows`. A query meets
-    the rows of the buckets that its window touches, `share` of all rows around its rank, on every curve; the bucket results are merged and
-    ranked by the exact distance of the original vectors in double precision, ties by the smaller id.
+    A range partitioning gives every row its rank on every curve; ranks are cut into buckets of equal size, at most `most_rows`. A query's window on
+    every curve is `share` of all rows around its rank, the same at any size, but at least 4 (k + 1) rows; it meets them in the buckets that the window
+    touches. The bucket results are merged and ranked by the exact distance of the original vectors in double precision, ties by the smaller id.
 
     Windows are a share of the rows because vectors without structure (as in high-dimensional noise, where the nearest are hardly nearer than
     others) need it for a recall of 0.9 at any size; clustered vectors do with much less. Equal vectors are one entry that stands for its
     k + 1 smallest ids, which is all that can rank, so copies cost one place and lose nothing.
 
-    Null, zero and non-finite vectors and null ids take no part; if lengths differ, only the most frequent (the shortest of equals) does. A repeated id
+    Null, zero and non-finite vectors and null ids take no part; shorter vectors count as filled up with zeros at their end. A repeated id
     counts once, at its least distance. Fewer than `k` other rows give fewer results, an empty table none.
     """
     rows = _vectors(table, id_col, vector_col)
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    size = usual[0]["n"] if usual else 1
-    rows = rows.filter(F.size("v") == size)
+    size = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    rows = rows.select("id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("v"))).alias("v"))
     place = Window.partitionBy("v").orderBy("id")
     first = rows.distinct().withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k + 1)
     entries = first.groupBy("v").agg(F.min("id").alias("entry"), F.array_sort(F.collect_list("id")).alias("ids"))
@@ -120,23 +120,42 @@ def nearest(
     offsets = ordered.groupBy("curve", "part").agg(F.count("*").alias("n"))
     offsets = offsets.select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     ranked = ordered.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["curve", "part"])
-    buckets = max(1, min(count, max(round(4 / share), -(-count // most_rows))))
-    bucket = F.floor((F.col("r") + F.col("offset")) * buckets / max(1, count)).cast("int")
-    ranked = stored(ranked.select("curve", "entry", bucket.alias("bucket")), "ranked")
-    reach = max(1, round(share * buckets / 2))
-    indexed = ranked.join(entries.select("entry", "v"), "entry").select("curve", "bucket", "entry", "v", F.lit(None).cast("long").alias("query"))
-    low = F.greatest(F.lit(0), F.least(F.col("bucket") - reach, F.lit(buckets - 1 - 2 * reach)))
-    visits = queries.join(ranked, "entry").withColumn("bucket", F.explode(F.sequence(low, F.least(low + 2 * reach, F.lit(buckets - 1)))))
-    visits = visits.select("curve", "bucket", "entry", "v", "query")
+    window = min(count, max(int(np.ceil(share * count)), 4 * (k + 1)))
+    buckets = max(1, min(count // max(1, window // 4), max(round(4 / share), -(-count // most_rows))))
+    rank = (F.col("r") + F.col("offset")).cast("long")
+    ranked = stored(ranked.select("curve", "entry", rank.alias("rank")), "ranked")
+
+    def bucket_of(place: Column) -> Column:
+        return F.floor(place * buckets / max(1, count)).cast("int")
+
+    indexed = ranked.join(entries.select("entry", "v"), "entry").select(
+        "curve", bucket_of(F.col("rank")).alias("bucket"), "entry", "v", "rank", F.lit(None).cast("long").alias("query")
+    )
+    # the first rank of a query's window, which stays inside the curve
+    low = F.greatest(F.lit(0), F.least(F.col("rank") - window // 2, F.lit(count - window))).cast("long")
+    visits = queries.join(ranked, "entry").withColumn("rank", low)
+    visits = visits.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("rank")), bucket_of(F.col("rank") + (window - 1)))))
+    visits = visits.select("curve", "bucket", "entry", "v", "rank", "query")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         asks = frame["query"].notna().to_numpy()
         own = frame[~asks]
         out = []
         if len(own) and asks.any():
-            x, entry = np.stack(own["v"]).astype(np.float64), own["entry"].to_numpy()
-            for query, v in zip(frame["query"][asks].astype("int64"), frame["v"][asks]):
-                d = np.square(x - np.asarray(v, np.float64)).sum(1)
+            own = own.sort_values("rank")
+            every, entries_of, ranks = np.stack(own["v"]).astype(np.float64), own["entry"].to_numpy(), own["rank"].to_numpy()
+            for query, v, first in zip(frame["query"][asks].astype("int64"), frame["v"][asks], frame["rank"][asks]):
+                a, b = np.searchsorted(ranks, (first, first + window))
+                x, entry = every[a:b], entries_of[a:b]
+                if a == b:
+                    continue
+                with np.errstate(over="ignore"):
+                    d = np.square(x - np.asarray(v, np.float64)).sum(1)
+                if np.isinf(d).any():  # components beyond 1e154: the squares are taken of scaled differences
+                    d = np.array([math.hypot(*row) for row in (x - np.asarray(v, np.float64)).tolist()])
+                    near = np.argsort(d, kind="stable")[: k + 1 + int((d == np.partition(d, min(len(d), k + 1) - 1)[min(len(d), k + 1) - 1]).sum())]
+                    out.append(pd.DataFrame({"query": query, "entry": entry[near], "score": d[near]}))
+                    continue
                 most = min(len(d), k + 1)
                 limit = np.partition(d, most - 1)[most - 1]
                 near = np.flatnonzero(d <= limit)  # ties at the edge may all rank by their ids

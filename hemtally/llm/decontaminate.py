@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks
+from .shared import chunks, stored, text_hash
 
 Q = 8
 EDITS = 0.1
@@ -33,10 +35,11 @@ class _Index:
         self.items = items
         lengths = np.array([len(b) for _, b in items], np.int64)
         self.lengths = lengths
-        #: Edits allowed: a share of the length, as many as leave the lemma's bound at one q-gram or more.
-        self.budget = np.maximum(0, np.minimum((lengths * edits).astype(np.int64), (lengths - Q) // Q))
+        #: Edits allowed: a share of the length. Where they may leave no q-gram, the item is cut into one piece more than edits, of which one stays whole.
+        self.budget = (lengths * edits).astype(np.int64)
         self.least = lengths - Q + 1 - self.budget * Q
-        grams = [_grams(np.frombuffer(b, np.uint8)) for _, b in items]
+        self.short = [(i, _pieces(items[i][1], int(self.budget[i]))) for i in np.flatnonzero(self.least < 1)]
+        grams = [_grams(np.frombuffer(b if n >= 1 else b"", np.uint8)) for (_, b), n in zip(items, self.least)]
         all_grams = np.concatenate(grams)
         owner = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         offset = np.concatenate([np.arange(len(g)) for g in grams])
@@ -44,6 +47,8 @@ class _Index:
         self.owner, self.offset = owner[by], offset[by]
         self.keys, self.begin = np.unique(all_grams[by], return_index=True)
         self.count = np.diff(np.append(self.begin, len(by)))
+        if not len(all_grams):
+            self.keys, self.begin, self.count = np.array([(1 << 64) - 1], np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.bits = max(16, int(len(self.keys) * 16).bit_length())
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self._slot(self.keys)] = True
@@ -65,6 +70,12 @@ class _Index:
         return np.repeat(at, n), self.owner[k], self.offset[k]
 
 
+def _pieces(item: bytes, edits: int) -> list[tuple[int, bytes]]:
+    """(offset, piece) of edits + 1 nearly equal pieces."""
+    cuts = [len(item) * k // (edits + 1) for k in range(edits + 2)]
+    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
 def _grams(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on as one number."""
     n = len(data) - Q + 1
@@ -115,31 +126,53 @@ def contaminated(
     the item's length of insertions, deletions and replacements (bytes). That many edits destroy at most Q q-grams each, so the part
     shares the rest with the item, on diagonals (place in the document less place in the item) at most that many apart: the q-grams shared
     are counted in overlapping bands of diagonals, bands that reach the lemma's count are aligned. Items so short that the
-    lemma says nothing (less than Q letters and digits) match nothing. Null and empty texts have no items; equal rows have equal results;
-    an empty benchmark marks nothing; repeated items appear once.
+    lemma says nothing are cut into one piece more than edits; where a piece occurs, it is aligned. Items without a letter or digit match nothing. Null
+    and empty texts have no items; equal rows have equal results; an empty benchmark marks nothing; repeated items appear once. An input column named
+    items gives way to the result.
 
-    The benchmark is a query set: its size is summed first, and it is taken in blocks of about `block_chars` (a longer item alone), each
-    broadcast with its tasks' code and matched with all documents in one pass. Documents are not shuffled.
+    The benchmark is a query set, taken in blocks of about `block_chars` (a longer item alone), of which the driver holds one at a time: a block is
+    broadcast and matched with all documents in one pass. If there is one block only, documents are not shuffled; with more, each pass writes which documents
+    it found something in, and these meet the documents.
     """
     spark = documents.sparkSession
     if "items" in documents.columns:
         documents = documents.drop("items")
-    blocks: list[list[tuple[int, bytes]]] = [[]]
-    size = 0
     rows = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("item is not null and text is not null")
-    for item, text in rows.distinct().sort("item", "text").toLocalIterator():
+    kind = benchmark.schema[item_col].dataType.simpleString()
+    text = F.col(f"`{text_col}`")
+    nothing = F.expr(f"cast(array() as array<{kind}>)")
+    blocks = _blocks(rows.distinct().sort("item", "text").toLocalIterator(), block_chars)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return documents.withColumn("items", nothing)
+    if second is None:
+        return documents.withColumn("items", F.array_sort(F.array_distinct(_marker(spark.sparkContext.broadcast(first), kind, edits)(text))))
+    passes = []
+    for block in itertools.chain([first, second], blocks):
+        shared = spark.sparkContext.broadcast(block)
+        hits = documents.select(text_hash(text).alias("th"), F.md5(text).alias("digest"), _marker(shared, kind, edits)(text).alias("found"))
+        passes.append(stored(hits.filter(F.size("found") > 0).distinct(), "hits"))
+        shared.destroy()
+    every = functools.reduce(DataFrame.unionByName, passes).select("th", "digest", F.explode("found").alias("item"))
+    every = every.groupBy("th", "digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    row = documents.select(F.struct("*").alias("row"), text_hash(text).alias("th"), F.md5(text).alias("digest"))
+    done = row.join(stored(every, "items"), ["th", "digest"], "left")
+    return done.select("row.*", F.coalesce("items", nothing).alias("items"))
+
+
+def _blocks(rows: Iterable, block_chars: int) -> Iterator[list[tuple[int, bytes]]]:
+    block, size = [], 0
+    for item, text in rows:
         small = compact(text)
-        if len(small) < Q:
+        if not small:
             continue
-        if blocks[-1] and size + len(small) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, small))
+        if block and size + len(small) > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((item, small))
         size += len(small)
-    kind = benchmark.schema[item_col].dataType.simpleString()
-    found = [_marker(spark.sparkContext.broadcast(b), kind, edits)(F.col(f"`{text_col}`")) for b in blocks if b]
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*found)))) if found else F.expr(f"cast(array() as array<{kind}>)")
-    return documents.withColumn("items", items)
+    if block:
+        yield block
 
 
 def _marker(block, kind: str, edits: float):
@@ -154,10 +187,31 @@ def _marker(block, kind: str, edits: float):
     return mark
 
 
+def _match_short(index: _Index, x: int, pieces: list[tuple[int, bytes]], raw: bytes, begins: np.ndarray, found: list[set[int]]) -> None:
+    """Marks the texts that hold a short item: by what stands around each place of each of its pieces."""
+    name, item = index.items[x]
+    budget, pattern = int(index.budget[x]), np.frombuffer(item, np.uint8)
+    for offset, piece in pieces:
+        at = raw.find(piece)
+        while at >= 0:
+            d = int(np.searchsorted(begins, at, "right")) - 1
+            if name not in found[d]:
+                a, b = max(int(begins[d]), at - offset - budget), min(int(begins[d + 1]) - 1, at - offset + len(item) + budget)
+                region = np.frombuffer(raw, np.uint8, b - a, a)
+                low = at - offset - a
+                if not budget or banded_distance(pattern, region, low, low, budget) <= budget:
+                    found[d].add(name)
+            # a text that is marked needs no second look
+            at = raw.find(piece, at + 1 if name not in found[d] else int(begins[d + 1]))
+
+
 def _matches(index: _Index, texts: list[bytes]) -> list[set[int]]:
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)  # no q-gram of an item holds the space
+    raw = b" ".join(texts) + b" "  # no q-gram of an item holds the space
+    data = np.frombuffer(raw, np.uint8)
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     found: list[set[int]] = [set() for _ in texts]
+    for x, pieces in index.short:
+        _match_short(index, x, pieces, raw, begins, found)
     at, item, offset = index.hits(data)
     if not len(at):
         return found

@@ -73,20 +73,20 @@ def test_line_dedup_keeps_a_copy_of_every_line(spark):
 def test_decontamination_finds_what_plain_alignment_finds(spark):
     r = random.Random(1)
     letters = "abcdefgh"
-    items = [(i, "".join(r.choice(letters) for _ in range(r.randint(40, 120)))) for i in range(6)]
+    items = [(i, "".join(r.choice(letters) for _ in range(r.choice([5, 9, 10, 14, 19, 24, 29, 35, 39] if i > 5 else range(40, 120))))) for i in range(16)]
     rows = [(0, None), (1, ""), (2, "too short")]
     for i in range(3, 60):
         b = list(r.choice(items)[1])
-        for _ in range(r.randint(0, 12)):
+        for _ in range(r.randint(0, max(2, len(b) // 9))):
             at = r.randrange(len(b))
             b[at : at + r.randint(0, 1)] = r.choice(["", r.choice(letters)])
         rows.append((i, "".join(r.choice(letters) for _ in range(r.randint(0, 150))) + "".join(b).upper() + "".join(r.choice(letters) for _ in range(50))))
-    benchmark = spark.createDataFrame([*items, items[0], (7, None), (8, "tiny"), (None, items[1][1])], "item_id long, text string")
+    benchmark = spark.createDataFrame([*items, items[0], (70, None), (80, "tiny"), (90, "?!"), (None, items[1][1])], "item_id long, text string")
     for block in (150, 10**6):
         got = decontaminate.contaminated(clashing(spark.createDataFrame(rows, SCHEMA)), clashing(benchmark), block_chars=block)
         for x in got.collect():
             text = (dict(rows)[x["doc_id"]] or "").lower().replace(" ", "")
-            assert x["items"] == [i for i, t in items if brute.edits_within(t, text) <= min(int(len(t) * 0.1), (len(t) - 8) // 8)]
+            assert x["items"] == [i for i, t in items if brute.edits_within(t, text) <= int(len(t) * 0.1)]
     assert decontaminate.contaminated(docs(spark, "a"), benchmark.limit(0)).first()["items"] == []
 
 

@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import chunks
+from .shared import chunks, discard, stored
 from .words import hashes_between, mix
 
-#: Labelled documents that training reads at most, by the smallest hash of their ids, and the lines of each.
+#: Labelled documents that training reads at most, by the smallest hash of their ids, and their lines in all.
 TRAIN_DOCUMENTS = 3_000
-TRAIN_LINES = 200
+TRAIN_LINES = 200_000
 THRESHOLD = 0.7
 
 #: Kinds of bytes whose shares are features: upper, lower (and all beyond ASCII), digit, other printing, white space, "!".
@@ -183,25 +183,34 @@ def held_out(id_text: F.Column) -> F.Column:
 
 
 def fit_quality(
-    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents_at_most: int = TRAIN_DOCUMENTS
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents_at_most: int = TRAIN_DOCUMENTS,
+    lines_at_most: int = TRAIN_LINES,
 ) -> Crf | None:
-    """Trains on labelled documents that are not held out, `documents_at_most` of them (the smallest hashes of their ids).
+    """Trains on labelled documents that are not held out, `documents_at_most` of them (the smallest hashes of their ids), in that order while they have
+    `lines_at_most` lines together. Whole documents: one that has more lines than are left is passed over.
 
-    The sample is chosen among the labels alone; its lines' features, at most TRAIN_LINES of each document, are made on the executors; they
+    The sample is chosen among the labels, a repeated id counts once, with its smallest text; lines' features are made on the executors; they
     are what reaches the driver. Without rows of both labels there is nothing to learn: None.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("good")).filter("good is not null and id is not null")
     known = known.filter(~F.coalesce(held_out(F.col("id")), F.lit(False))).groupBy("id").agg(F.max("good").alias("good"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(documents_at_most)
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
+    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(known, "id")
+    rows = rows.groupBy("id", "good").agg(F.min("text").alias("text"))
+    n = F.size(F.split("text", "\n"))
+    so_far = F.sum(F.when(n <= lines_at_most, n)).over(Window.orderBy(F.xxhash64("id"), "id"))  # at most documents_at_most rows
+    rows = rows.withColumn("so_far", so_far).filter((n <= lines_at_most) & (F.col("so_far") <= lines_at_most)).drop("so_far")
+    rows = stored(rows, "sample")
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(frames, "text"):
             x, sizes, _ = line_features(part["text"].tolist())
-            made = [y[:TRAIN_LINES] for y in np.split(x, np.cumsum(sizes)[:-1])]
+            made = np.split(x, np.cumsum(sizes)[:-1])
             yield pd.DataFrame({"id": part["id"], "good": part["good"], "n": [len(x) for x in made], "x": [x.tobytes() for x in made]})
 
-    got = rows.mapInPandas(features, "id long, good int, n int, x binary").toPandas()
+    kind = rows.schema["id"].dataType.simpleString()
+    got = rows.mapInPandas(features, f"id {kind}, good int, n int, x binary").toPandas()
+    discard(rows)
     if got["good"].nunique() < 2:
         return None
     got = got.sort_values(["id", "x"], ignore_index=True)

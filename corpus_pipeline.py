@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of repeated windows; those of which nothing remains go. n_chars follows the text."""
     done = line_dedup.dedup_lines(docs)
-    done = done.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    done = done.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return done.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: Training and alignment have no SQL form; tests hold each stage against a brute-force version.
+#: Training and alignment have no SQL form; tests/llm/test_pipeline.py holds each stage and run() against plain versions.
 ORACLE_SQL = None
 
 

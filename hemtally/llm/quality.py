@@ -16,6 +16,8 @@ from .words import hashes_between, mix
 TRAIN_DOCUMENTS = 3_000
 TRAIN_LINES = 200_000
 THRESHOLD = 0.7
+#: The share of a good document's length that is good at least, that of a bad one at most; rounds in which lines are labelled anew.
+GOOD_SHARE, BAD_SHARE, LATENT_ROUNDS = 0.9, 0.2, 2
 
 #: Kinds of bytes whose shares are features: upper, lower (and all beyond ASCII), digit, other printing, white space, "!".
 _KINDS = np.zeros((6, 256), np.int64)
@@ -132,6 +134,31 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, move: np.ndarray) ->
     return marginals, pairs, z
 
 
+def latent_labels(scores: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, move: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's probability of being good and the summed pair marginals, where each document's expected good share is as its label says.
+
+    One offset per document, found by halving, moves its lines' scores; documents whose share fits anyway have none.
+    """
+    document = np.repeat(np.arange(len(sizes)), sizes)
+    weight = lengths / np.add.reduceat(lengths, np.cumsum(sizes) - sizes)[document]
+
+    def labelled(offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        marginals, pairs, _ = forward_backward(np.stack([np.zeros(len(scores)), scores + offset[document]], 1), sizes, move)
+        return marginals[:, 1], pairs, np.bincount(document, marginals[:, 1] * weight, len(sizes))
+
+    lines, moves, part = labelled(np.zeros(len(sizes)))
+    fits = np.where(good == 1, part >= GOOD_SHARE, part <= BAD_SHARE)
+    if fits.all():
+        return lines, moves
+    target = np.where(good == 1, GOOD_SHARE, BAD_SHARE)
+    low, high = np.full(len(sizes), -12.0), np.full(len(sizes), 12.0)
+    for _ in range(12):
+        middle = (low + high) / 2
+        under = labelled(np.where(fits, 0, middle))[2] < target
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return labelled(np.where(fits, 0, (low + high) / 2))[:2]
+
+
 class Crf:
     """Weights of the features for "good" against "bad", and of moves between labels."""
 
@@ -139,8 +166,16 @@ class Crf:
         self.weights, self.move, self.mean, self.scale = weights, move, mean, scale
 
     @staticmethod
-    def fit(features: np.ndarray, sizes: np.ndarray, good: np.ndarray, steps: int = 150, penalty: float = 1e-3, rate: float = 0.1) -> Crf:
-        """Maximum likelihood by Adam, every line labelled as its document; a document's lines together weigh as one."""
+    def fit(
+        features: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, good: np.ndarray, steps: int = 150, penalty: float = 1e-3, rate: float = 0.1,
+        latent_rounds: int = LATENT_ROUNDS,
+    ) -> Crf:
+        """Maximum likelihood by Adam; a document's lines together weigh as one.
+
+        At first every line has its document's label. Then the lines' labels are latent: a document's label only says which share of its length is good, at
+        least GOOD_SHARE or at most BAD_SHARE. In `latent_rounds` rounds the field labels the lines itself, moved by one offset for all lines of a
+        document whose expected share is not as its label says, and learns from these labels and the moves between them.
+        """
         mean, scale = features.mean(0), features.std(0) + 1e-3
         mean[0], scale[0] = 0, 1  # the constant
         x = ((features - mean) / scale).astype(np.float64)
@@ -152,18 +187,28 @@ class Crf:
         seen = np.zeros((2, 2))
         np.add.at(seen, (y[:-1][inside[1:]].astype(int), y[1:][inside[1:]].astype(int)), 1)
         size = x.shape[1]
-        w = np.zeros(size + 4)
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        for t in range(1, steps + 1):
-            s = np.stack([np.zeros(len(x)), x @ w[:size]], 1)
-            marginals, pairs, _ = forward_backward(s, sizes, w[size:].reshape(2, 2))
-            g = np.concatenate([
-                x.T @ ((hot[:, 1] - marginals[:, 1]) * share) / len(sizes), ((seen - pairs) / len(y)).ravel(),
-            ]) - penalty * w
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+
+        def climb(w: np.ndarray, lines: np.ndarray, moves: np.ndarray, steps: int, rate: float) -> np.ndarray:
+            m, v = np.zeros_like(w), np.zeros_like(w)
+            for t in range(1, steps + 1):
+                s = np.stack([np.zeros(len(x)), x @ w[:size]], 1)
+                marginals, pairs, _ = forward_backward(s, sizes, w[size:].reshape(2, 2))
+                g = np.concatenate([x.T @ ((lines - marginals[:, 1]) * share) / len(sizes), ((moves - pairs) / len(y)).ravel()]) - penalty * w
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                w = w + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            return w
+
+        w = climb(np.zeros(size + 4), hot[:, 1], seen, steps, rate)
+        for _ in range(latent_rounds):
+            lines, moves = latent_labels(x @ w[:size], sizes, lengths, w[size:].reshape(2, 2), good)
+            w = climb(w, lines, moves, steps // 5, rate / 2)
         return Crf(w[:size], w[size:].reshape(2, 2), mean, scale)
 
+    def good_shares(self, features: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The lines' marginals, weighted by their lengths, of each document."""
+        begins = np.cumsum(sizes) - sizes
+        return (np.add.reduceat(self.marginals(features, sizes) * lengths, begins) / np.add.reduceat(lengths, begins)).clip(0, 1)
+
     def marginals(self, features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Each line's probability of being good."""
         s = ((features - self.mean) / self.scale).astype(np.float64) @ self.weights
@@ -171,10 +216,7 @@ class Crf:
 
     def scores(self, texts: list[str | None]) -> list[float]:
         """Each text's quality: its lines' marginals, weighted by their lengths."""
-        features, sizes, lengths = line_features(texts)
-        p = self.marginals(features, sizes)
-        begins = np.cumsum(sizes) - sizes
-        return (np.add.reduceat(p * lengths, begins) / np.add.reduceat(lengths, begins)).clip(0, 1).tolist()
+        return self.good_shares(*line_features(texts)).tolist()
 
 
 def held_out(id_text: F.Column) -> F.Column:
@@ -204,18 +246,22 @@ def fit_quality(
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(frames, "text"):
-            x, sizes, _ = line_features(part["text"].tolist())
-            made = np.split(x, np.cumsum(sizes)[:-1])
-            yield pd.DataFrame({"id": part["id"], "good": part["good"], "n": [len(x) for x in made], "x": [x.tobytes() for x in made]})
+            x, sizes, lengths = line_features(part["text"].tolist())
+            at = np.cumsum(sizes)[:-1]
+            made, long = np.split(x, at), np.split(lengths, at)
+            yield pd.DataFrame({
+                "id": part["id"], "good": part["good"], "n": sizes, "x": [x.tobytes() for x in made], "long": [x.tobytes() for x in long]
+            })
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInPandas(features, f"id {kind}, good int, n int, x binary").toPandas()
+    got = rows.mapInPandas(features, f"id {kind}, good int, n int, x binary, long binary").toPandas()
     discard(rows)
     if got["good"].nunique() < 2:
         return None
     got = got.sort_values(["id", "x"], ignore_index=True)
     x = np.concatenate([np.frombuffer(b, np.float32).reshape(n, -1) for b, n in zip(got["x"], got["n"])])
-    return Crf.fit(x, got["n"].to_numpy(np.int64), got["good"].to_numpy(np.float64))
+    lengths = np.frombuffer(b"".join(got["long"]), np.float64)
+    return Crf.fit(x, got["n"].to_numpy(np.int64), lengths, got["good"].to_numpy(np.float64))
 
 
 def score_quality(documents: DataFrame, model: Crf | None, text_col: str = "text") -> DataFrame:

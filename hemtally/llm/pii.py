@@ -118,11 +118,14 @@ def _candidates(documents: DataFrame) -> DataFrame:
         lead = F.length(F.regexp_extract(value, _LEAD, 0))
         return F.struct((start + lead).alias("start"), F.rtrim(F.substring(value, lead + 1, F.length(value)), F.lit(_EDGES)).alias("value"))
 
+    def placed(t: Column) -> list[Column]:
+        # the end is kept, as counting a long value's characters for every span beside it takes long
+        return [t["start"].alias("start"), (t["start"] + F.length(t["value"])).alias("end"), t["value"].alias("value")]
+
     def described(t: Column, patterns: Column, base: Column) -> Column:
-        end = t["start"] + F.length(t["value"])
-        under = F.filter(base, lambda b: (b["start"] < end) & (b["end"] > t["start"]))
+        under = F.filter(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))
         seed = F.get(under, F.lit(0))["kind"]
-        return F.struct(t["start"].alias("start"), end.alias("end"), t["value"].alias("value"), seed.alias("seed"), patterns.alias("patterns"))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), seed.alias("seed"), patterns.alias("patterns"))
 
     def contexts(i: Column) -> Column:
         before = F.when(i > 1, " # ").otherwise(" ^ ")
@@ -137,7 +140,7 @@ def _candidates(documents: DataFrame) -> DataFrame:
     def words(run: Column, base: Column) -> Column:
         value, own = run["value"], run["looks"]
         parts = _spans(value, F.regexp_extract_all(value, F.lit(r"\S++"), F.lit(0)), F.split(value, r"\S++", -1))
-        parts = F.transform(parts, lambda x: trimmed(run["start"] + x["start"], x["value"]))
+        parts = F.transform(F.transform(parts, lambda x: trimmed(run["start"] + x["start"], x["value"])), lambda x: F.struct(*placed(x)))
         fits = F.filter(parts, lambda x: reduce(or_, [f(x["value"]) & ~F.get(own, F.lit(k)) for k, f in enumerate(looks)]))
         inner = F.filter(F.transform(fits, lambda x: described(x, run["patterns"], base)), lambda x: x["seed"].isNull())
         whole = F.array(described(run, run["patterns"], base))
@@ -149,13 +152,13 @@ def _candidates(documents: DataFrame) -> DataFrame:
 
         def touched(block: Column) -> Column:
             first, last = F.get(block, F.lit(0)), F.element_at(block, -1)
-            near = F.filter(base, lambda b: (b["start"] < last["start"] + F.length(last["value"])) & (b["end"] > first["start"]))
+            near = F.filter(base, lambda b: (b["start"] < last["end"]) & (b["end"] > first["start"]))
             return F.struct(block.alias("runs"), near.alias("base"))
 
         return F.transform(F.transform(begins, lambda i: F.slice(runs, i, F.lit(size))), touched)
 
     def run(t: Column, i: Column) -> Column:
-        return F.struct(t["start"].alias("start"), t["value"].alias("value"), F.array(*[f(t["value"]) for f in looks]).alias("looks"), contexts(i).alias("patterns"))
+        return F.struct(*placed(t), F.array(*[f(t["value"]) for f in looks]).alias("looks"), contexts(i).alias("patterns"))
 
     runs = F.transform(F.transform("w", lambda s: trimmed(s["start"], s["value"])), run)
     matched = matched.withColumn("runs", F.filter(runs, lambda s: F.length(s["value"]) > 0))

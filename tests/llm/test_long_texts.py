@@ -25,3 +25,9 @@ def test_lines_of_one_text(spark, timed):
     df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
     assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(df).collect()} == {1: (text, 0), 2: ("", 40_000)}
     assert timed() < 60
+
+
+def test_digits_of_one_word(spark, timed):
+    df = spark.createDataFrame([(1, "9." * 200_000), (2, "1" * 500_000)], "doc_id long, text string")
+    assert {r["doc_id"]: len(r["base"]) for r in pii.personal_data(df).collect()} == {1: 50_000, 2: 0}
+    assert timed() < 100

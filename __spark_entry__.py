@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
@@ -28,8 +29,11 @@ SKIPPED = ("2001-07-15",)
 try:  # the training-data operators can be taken out as a whole
     import corpus_pipeline
     from hemtally.llm import queries as llm
-except ImportError:
+except ImportError as error:
     llm = None
+    if (Path(__file__).resolve().parent / "hemtally" / "llm" / "queries.py").exists():
+        warnings.warn(f"the training-data queries are left out: {error}", stacklevel=1)
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """The domain breakdown of a client's hashes."""

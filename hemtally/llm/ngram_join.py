@@ -306,7 +306,8 @@ def _across(members: DataFrame, similarity: Similarity) -> DataFrame:
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame(pairs, columns=["a", "b"])
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(join, "a long, b long").distinct()
+    # dealt out explicitly, as rows that are partitioned by key already would leave all blocks of a bucket in one task
+    return dealt.repartition("key", "i", "j").groupBy("key", "i", "j").applyInPandas(join, "a long, b long").distinct()
 
 
 def near_duplicates(

@@ -82,6 +82,15 @@ def test_large_buckets_are_dealt_into_blocks(spark, monkeypatch, family):
     assert sorted(map(tuple, got), key=str) == brute(rows, 4, 70, 100)
 
 
+def test_blocks_of_a_bucket_go_to_different_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    points = [(7, i, i, ngram_join.point(np.arange(i % 3, 40, dtype=np.uint64) << np.uint64(56))) for i in range(200)]
+    members = spark.createDataFrame(points, "key long, sid long, label long, point binary").repartition(8, "key")
+    pairs = ngram_join._across(members, Similarity(85, 100))
+    assert pairs.count() == 200 * 199 // 2
+    assert "REPARTITION_BY_COL" in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nulls_empty_texts_and_repeated_rows(spark):
     rows = [(1, None, None), (2, "", "s"), (3, " \n", "s"), (4, "a b", "s"), (5, "A\tB", "s"), (5, "A\tB", "s"), (None, "a b", "s"), (None, "q", "s"), (7, "ab", "s")]
     got = near_duplicates(spark.createDataFrame(rows, SCHEMA), 4, 85, 100).collect()
